@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, topk, url_filter
+from . import bpe, near_dedup, secrets_scan, simhash, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_near": near_dedup.op2_near,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_secrets": secrets_scan.op6_secrets,
     "op9_urls": url_filter.op9_urls,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
     "op1_topk": topk.OP1_SQL,
+    "op2_near": near_dedup.OP2_SQL,
+    "op6_secrets": secrets_scan.OP6_SQL,
     "op9_urls": url_filter.OP9_SQL,
 }

@@ -107,7 +107,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
         elif b > a:
             short = np.full(1, b - a, U64)
             for i in range(b - a):
-                short += words[a + i] * weights[i]
+                short += words[a + i : a + i + 1] * weights[i]
             out.append(mix(short))
         else:
             out.append(np.zeros(0, U64))
