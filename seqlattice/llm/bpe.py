@@ -110,7 +110,17 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        parts = self.split(text)
+        return self.encode_parts(self.split(text))
+
+    def count(self, parts: list[str]) -> int:
+        return len(self.encode_parts(parts)) // 4
+
+    def encode_parts(self, parts: list[str]) -> bytes:
+        """The ids of pre-tokens."""
+        try:
+            return b"".join(map(self.cache.__getitem__, parts))
+        except KeyError:
+            pass
         out = []
         for at in range(0, len(parts), 100_000):
             some = parts[at : at + 100_000]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, secrets_scan, simhash, topk, url_filter
+from . import bpe, line_dedup, mixing, near_dedup, quality, secrets_scan, simhash, token_counts, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_near": near_dedup.op2_near,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_tokens": token_counts.op4_tokens,
     "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secrets_scan.op6_secrets,
+    "op7_quality": quality.op7_quality,
+    "op8_lines": line_dedup.op8_lines,
     "op9_urls": url_filter.op9_urls,
     "op10_bpe": bpe.op10_bpe,
 }

@@ -114,8 +114,13 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def token_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's runs of letters, of digits and of symbols, lower-cased, and where each text's start."""
+def token_runs(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of each text's runs of letters, of digits and of symbols, lower-cased, and where each text's start.
+
+    The first array has the hashes of whole runs, then one for each of
+    ``prefixes`` has those of the first so many bytes (of shorter runs: again
+    of the whole).
+    """
     raw, offsets = utf8(texts)
     kind = _KIND[raw]
     edge = np.zeros(len(raw) + 1, bool)
@@ -125,7 +130,8 @@ def token_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last = kind > 0
     last[:-1] &= (kind[1:] != kind[:-1]) | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+    found = [span_hashes(raw, starts, ends), *[span_hashes(raw, starts, np.minimum(ends, starts + n)) for n in prefixes]]
+    return found, np.searchsorted(starts, offsets)
 
 
 _KIND = np.full(256, 3, np.uint8)
