@@ -1,6 +1,8 @@
-"""Every registered query over the given tables, and the SQL that checks it."""
+"""Every registered query over the given tables, and the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import queries_align, queries_model, queries_sim
+
+QUERIES = {**queries_align.QUERIES, **queries_model.QUERIES, **queries_sim.QUERIES}
+ORACLE_SQL = {**queries_align.ORACLE_SQL, **queries_model.ORACLE_SQL, **queries_sim.ORACLE_SQL}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -16,3 +18,22 @@ def ship(spark: SparkSession) -> SparkSession:
     if here not in paths:
         env["PYTHONPATH"] = os.pathsep.join([here, *paths])
     return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, to cut lineage between iterations.
+
+    The folder is the cluster's spark.checkpoint.dir; only on a local master
+    without one is it a fresh local folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        root = context.getCheckpointDir()
+    path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
