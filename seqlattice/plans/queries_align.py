@@ -137,18 +137,18 @@ SEEDS_SQL = f"""strands AS (SELECT read_id, '+' AS strand, substr(seq, 1, 64) AS
 seeds AS (SELECT read_id, strand, CAST("offset" AS INTEGER) AS "offset", substr(s, "offset" + 1, {K}) AS kmer
   FROM (SELECT read_id, strand, s, unnest(range(o, length(s) - {K} + 1, {STEP})) AS "offset" FROM strands))"""
 HITS_SQL = f"""{GENOME_SQL}, {READS_SQL}, {KMERS_SQL}, {SEEDS_SQL},
-hits AS (SELECT read_id, strand, "offset", chrom_idx, CAST(pos AS INTEGER) AS pos FROM kmers JOIN seeds USING (kmer) WHERE kmer <> '{DULL}')"""
+hits AS MATERIALIZED (SELECT read_id, strand, "offset", chrom_idx, CAST(pos AS INTEGER) AS pos FROM kmers JOIN seeds USING (kmer) WHERE kmer <> '{DULL}')"""
 DIAGONALS_SQL = f"""{HITS_SQL}, diagonals AS (SELECT read_id, strand, chrom_idx, pos - "offset" AS diagonal, count(*) AS seeds FROM hits GROUP BY ALL)"""
 EXACT_SQL = f"""{DIAGONALS_SQL},
-exact AS (SELECT read_id, CAST(rank - 1 AS INTEGER) AS hit_idx, chrom_idx, CAST(diagonal AS BIGINT) AS start, CAST(diagonal + length(seq) AS BIGINT) AS stop, strand, seq, name,
+exact AS MATERIALIZED (SELECT read_id, CAST(rank - 1 AS INTEGER) AS hit_idx, chrom_idx, CAST(diagonal AS BIGINT) AS start, CAST(diagonal + length(seq) AS BIGINT) AS stop, strand, seq, name,
                  count(*) OVER (PARTITION BY read_id) AS num_hits
   FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY seeds DESC, chrom_idx, diagonal, strand) AS rank FROM diagonals WHERE diagonal >= 0) JOIN reads USING (read_id) WHERE rank <= 10)"""
 WEIGHTS_SQL = f"""{EXACT_SQL},
 depths AS (SELECT chrom_idx, start, stop, strand, sum(1.0::DOUBLE / num_hits) AS depth FROM exact GROUP BY ALL),
-weights AS (SELECT *, CASE WHEN depth < 10 THEN 1.0 WHEN depth < 10000 THEN 1 / log10(depth) ELSE 0.25 END AS weight FROM depths)"""
+weights AS MATERIALIZED (SELECT *, CASE WHEN depth < 10 THEN 1.0 WHEN depth < 10000 THEN 1 / log10(depth) ELSE 0.25 END AS weight FROM depths)"""
 LOCI_SQL = f"""{WEIGHTS_SQL},
-cut AS (SELECT e.*, genome.seq AS chrom_seq, greatest(start - 5, 0) AS locus_start, least(stop + 5, seq_len) AS locus_stop FROM exact e JOIN genome USING (chrom_idx)),
-loci AS (SELECT *, CASE WHEN strand = '-' THEN reverse(translate(plus, 'ACGT', 'TGCA')) ELSE plus END AS locus
+cut AS MATERIALIZED (SELECT e.*, genome.seq AS chrom_seq, greatest(start - 5, 0) AS locus_start, least(stop + 5, seq_len) AS locus_stop FROM exact e JOIN genome USING (chrom_idx)),
+loci AS MATERIALIZED (SELECT *, CASE WHEN strand = '-' THEN reverse(translate(plus, 'ACGT', 'TGCA')) ELSE plus END AS locus
   FROM (SELECT *, substr(chrom_seq, locus_start + 1, locus_stop - locus_start) AS plus FROM cut))"""
 PLACES_SQL = f"""{EXACT_SQL},
 placed AS (SELECT e.*, genome.chrom, stop - start AS len, start % 7 AS error FROM exact e JOIN genome USING (chrom_idx))"""
