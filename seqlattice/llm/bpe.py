@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_SIZE = 400_000
+CACHE_SIZE = 400_000  # pre-tokens, and those of one piece of a text
+LONG = 200  # characters; longer pre-tokens aren't kept
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -95,8 +96,6 @@ class Codec:
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, pretokens: list[str]) -> None:
-        if len(self.cache) + len(pretokens) > CACHE_SIZE:
-            self.cache.clear()
         ask = []
         for p in pretokens:
             raw = p.encode("utf-8", "surrogatepass")
@@ -125,11 +124,14 @@ class Codec:
         for at in range(0, len(parts), 100_000):
             some = parts[at : at + 100_000]
             missing = set(some).difference(self.cache)
-            if missing:
-                self._learn(list(missing))
-                if not self.cache.keys() >= set(some):
-                    self._learn(list(set(some).difference(self.cache)))
+            if missing and len(self.cache) + len(missing) > CACHE_SIZE:
+                self.cache.clear()
+                missing = set(some)
+            self._learn(list(missing))
             out += map(self.cache.__getitem__, some)
+            for p in missing:
+                if len(p) > LONG:
+                    del self.cache[p]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

@@ -209,7 +209,7 @@ def test_edits_touch_little_of_a_long_text():
 
 
 def test_count_edits_of_odd_rows(spark):
-    edits = "CASE WHEN doc_id = 3 THEN array(struct(-5L AS start, 99L AS stop, 'two words' AS text), NULL, struct(0L, 0L, NULL)) END"
+    edits = "CASE WHEN doc_id = 3 THEN array(struct(-5L AS start, 99L AS stop, 'two words' AS text), NULL, struct(0L AS start, 0L AS stop, CAST(NULL AS STRING) AS text)) END"
     df = odd(spark).withColumn("edits", F.expr(edits)).withColumn("n_tokens", F.lit("clash"))
     got = token_counts.count_edits(spark, df, public_tokenizers.path(token_counts.VOCABULARY), public_tokenizers.PATTERN)
     rows = {r.doc_id: r for r in got.collect()}
