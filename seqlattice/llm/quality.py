@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .textops import mix, slices, token_runs
 
-SAMPLE = 16_000  # labelled rows that the model is fitted on, at most
-BUCKETS = 1 << 23  # so many that words seen once seldom share one with a telling word
+SAMPLE = 10_000  # labelled rows that the model is fitted on, at most
+BUCKETS = 1 << 22  # so many that words seen once seldom share one with a telling word
 PREFIXES = (4, 5)  # bytes
 GRADES = 3
 
@@ -106,6 +106,7 @@ def fit_ordinal(owner: np.ndarray, bucket: np.ndarray, grades: np.ndarray, round
     count = np.bincount(bucket, minlength=BUCKETS)
     apart = np.bincount(bucket, (grades - grades.mean())[owner], BUCKETS)
     use = (count >= rare) & (-apart >= telling * max(float(grades.std()), 1e-9) * np.sqrt(count))
+    del count, apart
     owner, bucket = owner[use[bucket]], bucket[use[bucket]]
     known, column = np.unique(bucket, return_inverse=True)
     rows, w = len(grades), len(known)
@@ -164,8 +165,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
         return Model(np.zeros(BUCKETS, np.float32), np.full(GRADES - 1, -50.0))
     table = table.sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
     lists = [np.frombuffer(x, "<i4") for x in table["buckets"].to_pylist()]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return fit_ordinal(owner, np.concatenate(lists).astype(np.int64), table["grade"].to_numpy().astype(np.int64))
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    return fit_ordinal(owner, np.concatenate(lists), table["grade"].to_numpy().astype(np.int64))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
