@@ -111,9 +111,6 @@ class Codec:
         """The ids as little-endian unsigned 32-bit integers."""
         return self.encode_parts(self.split(text))
 
-    def count(self, parts: list[str]) -> int:
-        return len(self.encode_parts(parts)) // 4
-
     def encode_parts(self, parts: list[str]) -> bytes:
         """The ids of pre-tokens."""
         try:

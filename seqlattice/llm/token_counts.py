@@ -13,19 +13,53 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Codec, _codec, read_ranks, serialise_model
+from .bpe import read_ranks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+CACHE_SIZE = 1_000_000  # pre-tokens, and those of one text
+LONG = 64  # characters; longer pre-tokens aren't kept
 LEAF = 64  # pre-tokens
 LOOK = 3  # code points that a match may look at from its end, or an alternative from its start
 EDITS = "array<struct<start:long,stop:long,text:string>>"
 
 
+class Counter:
+    """Splits texts into pre-tokens and says how many tokens each has; keeps the counts of those seen, up to a bound."""
+
+    def __init__(self, ranks: list[bytes], pattern: str):
+        self.split = regex.compile(pattern).findall
+        self.encode = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks={p: i for i, p in enumerate(ranks)}, special_tokens={}).encode_ordinary
+        self.known: dict[str, int] = {}
+
+    def counts(self, parts: list[str]) -> list[int]:
+        try:
+            return list(map(self.known.__getitem__, parts))
+        except KeyError:
+            pass
+        if len(self.known) > CACHE_SIZE:
+            self.known.clear()
+        known, out = self.known, []
+        for p in parts:
+            n = known.get(p)
+            if n is None:
+                n = len(self.encode(p))
+                if len(p) <= LONG:
+                    known[p] = n
+            out.append(n)
+        return out
+
+
+_counters: dict[str, Counter] = {}
+
+
 class SegmentTree:
     """Sums of (chars, tokens) over leaves; the nodes of a level stand beside each other, node 1 is the root."""
 
@@ -65,18 +99,26 @@ class SegmentTree:
 class CountedText:
     """A text with its token count, kept up to date under edits."""
 
-    def __init__(self, text: str, codec: Codec):
-        self.codec = codec
+    def __init__(self, text: str, counter: Counter):
+        self.counter = counter
         self.encoded = 0  # pre-tokens encoded so far
-        self._build(codec.split(text))
+        self._build(counter.split(text))
 
     def _build(self, parts: list[str]) -> None:
+        """Leaves and tree of a whole text, whose pre-tokens are encoded together."""
+        self.encoded += len(parts)
+        chars, tokens = self._sizes(parts)
         self.leaves = [parts[i : i + LEAF] for i in range(0, len(parts), LEAF)] or [[]]
-        self.tree = SegmentTree([self._sums(x) for x in self.leaves])
+        at = np.arange(0, len(parts), LEAF)
+        self.tree = SegmentTree(list(zip(np.add.reduceat(chars, at).tolist(), np.add.reduceat(tokens, at).tolist(), strict=True)) if len(at) else [(0, 0)])
+
+    def _sizes(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points and tokens of each pre-token."""
+        return np.fromiter(map(len, parts), np.int64, len(parts)), np.array(self.counter.counts(parts), np.int64)
 
     def _sums(self, parts: list[str]) -> tuple[int, int]:
-        self.encoded += len(parts)
-        return sum(map(len, parts)), self.codec.count(parts)
+        chars, tokens = self._sizes(parts)
+        return int(chars.sum()), int(tokens.sum())
 
     @property
     def tokens(self) -> int:
@@ -95,7 +137,7 @@ class CountedText:
         start = min(max(start, 0), n)
         stop = min(max(stop, start), n)
         if not n:
-            self._build(self.codec.split(text))
+            self._build(self.counter.split(text))
             return
         leaf, at = self.tree.find(max(0, start - LOOK))
         parts, first = self.leaves[leaf], 0
@@ -117,7 +159,7 @@ class CountedText:
                 here += len(p)
                 bounds[here] = i + 1
             ends = at + span >= n
-            done, here, found = [], 0, self.codec.split(fresh)
+            done, here, found = [], 0, self.counter.split(fresh)
             tail: list[str] | None = None
             for p in found:
                 done.append(p)
@@ -136,9 +178,8 @@ class CountedText:
             self._build(parts)
             return
         self.leaves[leaf] = middle
-        kept_sums = (sum(map(len, kept)) + sum(map(len, tail or [])), self.codec.count(kept) + self.codec.count(tail or []))
-        new = self._sums(done)
-        self.tree.set(leaf, (kept_sums[0] + new[0], kept_sums[1] + new[1]))
+        self.encoded += len(done)
+        self.tree.set(leaf, self._sums(middle))
         for i in range(leaf + 1, last + 1):
             self.leaves[i] = []
             self.tree.set(i, (0, 0))
@@ -155,20 +196,21 @@ def count_edits(spark: SparkSession, docs: DataFrame, path: str, pattern: str, e
     are replaced. No shuffle.
     """
     ranks = read_ranks(path)
-    model = serialise_model(ranks)
-    name = hashlib.sha256(model + pattern.encode()).hexdigest()
-    shared = spark.sparkContext.broadcast((ranks, model, pattern))
+    name = hashlib.sha256(repr((ranks, pattern)).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary
     added = ["n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"]
     kept = docs.select([F.col(c).cast(EDITS).alias(c) if c == edits else c for c in docs.columns if c not in added])
     schema = kept.select("*", *[F.lit(0).cast("long").alias(c) for c in added]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, name)
+        if name not in _counters:
+            _counters[name] = Counter(shared.value, pattern)
+        counter = _counters[name]
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 rows = []
                 for text, todo in zip(batch["text"].to_pylist(), batch[edits].to_pylist(), strict=True):
-                    counted = CountedText(text or "", codec)
+                    counted = CountedText(text or "", counter)
                     before, parts = counted.tokens, counted.encoded
                     for e in todo or []:
                         if e is not None:

@@ -183,8 +183,12 @@ def codec(name):
     return bpe.Codec(ranks, bpe.serialise_model(ranks), public_tokenizers.PATTERN)
 
 
+def counter():
+    return token_counts.Counter(bpe.read_ranks(public_tokenizers.path(token_counts.VOCABULARY)), public_tokenizers.PATTERN)
+
+
 def test_edits_give_the_counts_of_a_fresh_split():
-    c, rnd = codec(token_counts.VOCABULARY), random.Random(5)
+    c, rnd = counter(), random.Random(5)
     bits = ["a", "b", "'", "l", "s", " ", "  ", "\n", "1", "2", "!", "é", "日", "'ll", "'re", " the", "re", "ve", "\t"]
     make = lambda n: "".join(rnd.choices(bits, k=n))
     for k in range(300):
@@ -196,12 +200,20 @@ def test_edits_give_the_counts_of_a_fresh_split():
             new = make(rnd.choice([0, 1, 2, 5, 40, 900 if k % 50 == 0 else 7]))
             now = now[:a] + new + now[b:]
             counted.edit(a, b, new)
-            assert counted.text() == now and [p for x in counted.leaves for p in x] == c.split(now) and counted.tokens == len(c.encode(now)) // 4
+            assert counted.text() == now and [p for x in counted.leaves for p in x] == c.split(now) and counted.tokens == len(c.encode(now))
             assert counted.chars == len(now)
 
 
+def test_a_full_memory_of_counts_starts_anew(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_SIZE", 10)
+    c, rnd = counter(), random.Random(15)
+    for _ in range(20):
+        t = text(rnd, 50)
+        assert token_counts.CountedText(t, c).tokens == len(c.encode(t))
+
+
 def test_edits_touch_little_of_a_long_text():
-    c = codec(token_counts.VOCABULARY)
+    c = counter()
     counted = token_counts.CountedText("some words in a row, " * 20000, c)
     before = counted.encoded
     counted.edit(200_000, 200_004, "other")
@@ -214,7 +226,7 @@ def test_count_edits_of_odd_rows(spark):
     got = token_counts.count_edits(spark, df, public_tokenizers.path(token_counts.VOCABULARY), public_tokenizers.PATTERN)
     rows = {r.doc_id: r for r in got.collect()}
     assert got.count() == 7 and (rows[1].n_tokens, rows[2].n_tokens_edited) == (0, 0)
-    assert rows[3].n_tokens == 1 and rows[3].n_tokens_edited == len(codec(token_counts.VOCABULARY).encode("two words")) // 4
+    assert rows[3].n_tokens == 1 and rows[3].n_tokens_edited == len(counter().encode("two words"))
     assert rows[4].n_tokens == rows[4].n_tokens_edited > 20000
 
 
