@@ -172,6 +172,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST_WORDS,
     outlined = scratch.write(outlines(docs.select(F.col("doc_id").cast("long"), "text")))
     lines = scratch.write(lines_of(outlined))
     held = lines.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    held = scratch.write(held)  # read anew, so that the join can split the rows of a very common line
     holders = scratch.write(lines.join(held.select(F.col("hash").alias("h"), "n", "first"), F.col("hash") == F.col("h")).select("hash", "doc_id", "n", "first"))
     scratch.drop(lines)
     few = holders.where(F.col("n") <= rare)
