@@ -233,7 +233,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     members = branch(classes, trees)
     for level in range(LEVELS):
         members = scratch.write(members)
-        sizes = members.groupBy("node").count().where("count > 1").withColumnRenamed("node", "at")
+        sizes = scratch.write(members.groupBy("node").count().where("count > 1").withColumnRenamed("node", "at"))  # read anew, so that the join can split large nodes
         inside = scratch.write(members.join(sizes, F.col("node") == F.col("at")).select("node", "rep", (F.col("count") > LEAF).alias("large")).distinct())
         scratch.drop(members)
         signed = inside.join(classes.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).drop("r")
