@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share line hashes. A line that few documents hold
-(RARE or fewer) pairs all its holders; a line that many hold pairs each of
-them with the first holder, which is enough as that one keeps its copy. Pairs
-are aligned by patience diff over line hashes: lines unique in both documents
+Documents overlap where they share a run of lines: from each line on, and up to
+each line, the shortest run of consecutive lines that reaches ``least`` words is
+hashed, and each later holder of a run is paired with the run's first holder.
+Every line of a common block lies in such a run inside the block, so one pair a
+holder and run is enough, however common the single lines are. Pairs are
+aligned by patience diff over line hashes: lines unique in both documents
 and in the same order anchor the alignment, which grows from the anchors and
 recurs between them; what is left over is aligned again until nothing more
 matches, so moved blocks count too. Common blocks of at least ``least`` words
@@ -22,9 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textops import _SEPARATORS, runs, slices, span_hashes, utf8
+from .textops import _BASE, _BASE_INVERSE, _SEPARATORS, U64, _powers_of, mix, runs, slices, span_hashes, utf8
 
-RARE = 8
 LEAST_WORDS = 50
 
 
@@ -51,14 +52,36 @@ def outlines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary, words binary")
 
 
-def lines_of(outlined: DataFrame) -> DataFrame:
-    """(hash, doc_id): each document's distinct lines that have words."""
+def shortest_runs(words: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of the shortest runs of ``least`` words from each line on and up to each line; documents start at ``at`` and no run leaves its document."""
+    total = np.append(0, np.cumsum(words, dtype=np.int64))
+    line = np.arange(len(words))
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    to = np.searchsorted(total, total[:-1] + max(least, 1), "left")
+    since = np.searchsorted(total, total[1:] - max(least, 1), "right") - 1
+    down, up = to <= at[owner + 1], since >= at[owner]
+    found = np.unique(np.concatenate([line[down] * (len(words) + 1) + to[down], since[up] * (len(words) + 1) + line[up] + 1]))
+    return found // (len(words) + 1), found % (len(words) + 1)
+
+
+def runs_of(outlined: DataFrame, least: int) -> DataFrame:
+    """(hash, doc_id): each document's distinct shortest runs of ``least`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 2_000) for i in range(0, whole.num_rows, 2_000)):
-                found = [np.unique(np.frombuffer(h, np.int64)[np.frombuffer(w, "<i4") > 0]) for h, w in zip(batch["hashes"].to_pylist(), batch["words"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(batch["doc_id"].to_numpy(), [len(x) for x in found]))], names=["hash", "doc_id"])
+                lines = [np.frombuffer(h, U64) for h in batch["hashes"].to_pylist()]
+                at = np.append(0, np.cumsum([len(x) for x in lines]))
+                first, end = shortest_runs(np.concatenate([np.frombuffer(w, "<i4") for w in batch["words"].to_pylist()]), at, least)
+                prefix = np.zeros(at[-1] + 1, U64)
+                np.cumsum(mix(np.concatenate(lines)) * _powers_of(_BASE, at[-1])[: at[-1]], out=prefix[1:])
+                hashes = mix((prefix[end] - prefix[first]) * _powers_of(_BASE_INVERSE, at[-1] + 1)[first] + (end - first).astype(U64))
+                owner = np.searchsorted(at, first, "right") - 1
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(batch["doc_id"].to_numpy()[owner[new]])], names=["hash", "doc_id"])
 
     return outlined.where("doc_id IS NOT NULL").mapInArrow(run, "hash long, doc_id long")
 
@@ -157,7 +180,7 @@ def align(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.mapInArrow(run, "doc_id long, lines array<int>")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with text freed of lines in blocks that an earlier document (smaller doc_id) holds too.
 
     Adds n_lines (before) and removed (the positions of deleted lines, from
@@ -170,16 +193,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST_WORDS,
     """
     scratch = Scratch(spark)
     outlined = scratch.write(outlines(docs.select(F.col("doc_id").cast("long"), "text")))
-    lines = scratch.write(lines_of(outlined))
-    held = lines.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    held = scratch.write(held)  # read anew, so that the join can split the rows of a very common line
-    holders = scratch.write(lines.join(held.select(F.col("hash").alias("h"), "n", "first"), F.col("hash") == F.col("h")).select("hash", "doc_id", "n", "first"))
-    scratch.drop(lines)
-    few = holders.where(F.col("n") <= rare)
-    lists = few.groupBy("hash").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))  # at most ``rare`` ids each
-    met = lists.select(F.explode("ids").alias("b"), "ids").select("b", F.explode("ids").alias("a")).where("a < b")
-    star = holders.where((F.col("n") > rare) & (F.col("first") < F.col("doc_id"))).select(F.col("doc_id").alias("b"), F.col("first").alias("a"))
-    pairs = met.unionByName(star).distinct()
+    blocks = scratch.write(runs_of(outlined, least))
+    held = blocks.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    held = scratch.write(held.select(F.col("hash").alias("h"), "first"))  # read anew, so that the join can split the rows of a very common run
+    pairs = scratch.write(blocks.join(held, F.col("hash") == F.col("h")).where("first < doc_id").select(F.col("doc_id").alias("b"), F.col("first").alias("a")).distinct())
+    scratch.drop(blocks)
     one = outlined.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "hashes"])
     left = one.select(F.col("doc_id").alias("id_a"), F.col("hashes").alias("a_hashes"))
     right = one.select(F.col("doc_id").alias("id_b"), F.col("hashes").alias("b_hashes"), F.col("words").alias("b_words"))

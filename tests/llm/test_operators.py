@@ -376,6 +376,35 @@ def test_copies_lose_all_lines_whatever_their_number(spark):
     assert line_dedup.dedup_lines(spark, odd(spark).where("false")).count() == 0
 
 
+def test_a_block_goes_though_other_documents_hold_its_lines_first(spark):
+    line = lambda name, n: " ".join(f"{name}x{j}" for j in range(n))
+    own = lambda n: line(f"own{n}", 15)
+    passage = "\n".join(line(f"p{i}", 20) for i in range(3))
+    rows = [(i + 1, f"{own(i + 1)}\n{t}") for i, t in enumerate(passage.split("\n"))] + [(i, f"{own(i)}\n{passage}\n{own(-i)}") for i in range(10, 31)]
+    # common short lines whose block only two documents hold, and a tail that the first holder of the long line lacks
+    rows += [(100 + 10 * i + j, f"{own(100 + 10 * i + j)}\n{line(f's{i}', 10)}") for i in range(6) for j in range(10)]
+    rows += [(i, f"{own(i)}\n" + "\n".join(line(f"s{j}", 10) for j in range(6)) + f"\n{own(-i)}") for i in (200, 201)]
+    rows += [(300, line("long", 60)), *[(i, f"{own(i)}\n{line('long', 60)}\n{line('tail', 5)}\n{own(-i)}") for i in (301, 302)]]
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark, table(spark, rows)).collect()}
+    want = {**{i: [1, 2, 3] for i in range(11, 31)}, 201: [1, 2, 3, 4, 5, 6], 301: [1], 302: [1, 2]}
+    assert {k: v for k, v in got.items() if v} == want
+
+
+def test_shortest_runs_stay_in_their_document_and_reach_every_line_of_a_block():
+    rnd = random.Random(12)
+    for _ in range(300):
+        counts = [[rnd.choice([0, 1, 2, 5, 9]) for _ in range(rnd.randint(1, 9))] for _ in range(3)]
+        at = np.append(0, np.cumsum([len(x) for x in counts]))
+        words = np.concatenate(counts)
+        got = list(zip(*map(np.ndarray.tolist, line_dedup.shortest_runs(words, at, 10)), strict=True))
+        assert all(words[a:b].sum() >= 10 and any(x <= a and b <= y for x, y in zip(at[:-1], at[1:], strict=True)) for a, b in got)
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            for a in range(x, y):
+                for b in range(a + 1, y + 1):
+                    if words[a:b].sum() >= 10:
+                        assert {i for p, q in got if a <= p and q <= b for i in range(p, q)} == set(range(a, b))
+
+
 def test_patience_and_blocks():
     rnd = random.Random(11)
     for _ in range(300):
