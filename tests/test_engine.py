@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlattice.functions import bases, scores
 from seqlattice.operators import alignments, em, evaluate, loci, posterior, seeding, simulate
-from seqlattice.plans import realign
+from seqlattice.plans import queries_sim, realign
 from seqlattice.sources import formats
 
 
@@ -105,6 +105,17 @@ def test_realignment_places_reads_and_its_likelihood_rises(spark):
     assert realign.records(done, g, r).count() == len(reads)
 
 
+def test_closed_loop_searches_every_drawn_read(spark, small, monkeypatch):
+    seen = []
+    search = seeding.search
+    monkeypatch.setattr(seeding, "search", lambda g, r, **how: (seen.append(r), search(g, r, **how))[1])
+    monkeypatch.setattr(realign, "realign", lambda spark, g, r, hits, *settings: (seen.append(r), {"with_priors": None})[1])
+    monkeypatch.setattr(posterior, "best_hits", lambda done: spark.createDataFrame([], "chrom_idx long, name string, aligned boolean, start long, stop long, strand string, posterior double"))
+    queries_sim.closed_loop(spark, small)
+    want = {r.read_id for r in queries_sim.sim_reads(spark, small).select("read_id").collect()}
+    assert len(want) > 4 and all({x.read_id for x in r.select("read_id").collect()} == want for r in seen) and len(seen) == 2
+
+
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         realign.Settings(sequence_iterations=0)
