@@ -86,7 +86,7 @@ def hmm_viterbi_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def em_sequence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits scored and weighed after the sequence model is fitted."""
     g, r = genome(spark, sf_dir), reads(spark, sf_dir)
-    done = realign.realign(spark, g, r, loci.hits_of(seeding.search(g, r)), realign.Settings(sequence_iterations=2, genome_priors=False))["scored"]
+    done = realign.realign(spark, g, r, loci.hits_of(seeding.search(g, r)), realign.Settings(genome_priors=False))["scored"]
     return done.select("read_id", "hit_idx", F.round("a_score", 4).alias("a_score"), F.round("posterior", 5).alias("posterior"), F.round("unaligned", 5).alias("unaligned"))
 
 
@@ -99,7 +99,7 @@ def em_genome_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def realigned_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SAM lines of all reads after search, both models and the choice of the best hit."""
     g, r = genome(spark, sf_dir), reads(spark, sf_dir)
-    done = realign.realign(spark, g, r, loci.hits_of(seeding.search(g, r)), realign.Settings(sequence_iterations=1, genome_iterations=1))
+    done = realign.realign(spark, g, r, loci.hits_of(seeding.search(g, r)))
     return realign.records(done["with_priors"], g, r)
 
 

@@ -67,7 +67,7 @@ def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulate, search, re-align and evaluate: the accuracy of best hits by quality."""
     g = genome(spark, sf_dir)
     r = realign.stored(simulate.mutate(_drawn(spark, sf_dir)).select("read_id", "name", "seq", "qual"))
-    done = realign.realign(spark, g, r, loci.hits_of(seeding.search(g, r)), realign.Settings(sequence_iterations=1, genome_iterations=1))["with_priors"]
+    done = realign.realign(spark, g, r, loci.hits_of(seeding.search(g, r)))["with_priors"]
     best = posterior.best_hits(done).join(g.select("chrom_idx", "chrom"), "chrom_idx")
     from ..functions.scores import mapq
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlattice.functions import bases, scores
 from seqlattice.operators import alignments, em, evaluate, loci, posterior, seeding, simulate
-from seqlattice.plans import queries_sim, realign
+from seqlattice.plans import queries_model, queries_sim, realign
 from seqlattice.sources import formats
 
 
@@ -116,6 +116,20 @@ def test_closed_loop_searches_every_drawn_read(spark, small, monkeypatch):
     assert len(want) > 4 and all({x.read_id for x in r.select("read_id").collect()} == want for r in seen) and len(seen) == 2
 
 
+@pytest.mark.parametrize("query", [queries_model.em_sequence_model, queries_model.realigned_sam, queries_sim.closed_loop])
+def test_queries_run_all_iterations_of_the_default_settings(spark, small, monkeypatch, query):
+    class Done(Exception):
+        pass
+
+    def stop(spark, g, r, hits, settings=realign.Settings()):
+        raise Done(settings)
+
+    monkeypatch.setattr(realign, "realign", stop)
+    with pytest.raises(Done) as e:
+        query(spark, small)
+    assert (e.value.args[0].sequence_iterations, e.value.args[0].genome_iterations) == (5, 5)
+
+
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         realign.Settings(sequence_iterations=0)
