@@ -5,7 +5,10 @@ weighted sums meet the target shares of sources, of languages and of topics.
 The factor of a source is worked out inside its own group of cells, so any
 number of sources stays distributed; each sweep is one job that brings only
 the sums by language and topic back to the driver. Documents are then kept
-with the calibrated probability of their cell, by a hash of their content.
+with the calibrated probability of their cell, by a hash of their content. The
+scale follows the cells that matter: those of the highest ratios that hold no
+more than TINY of all words together are kept whole and fall short of their
+target, so that a stray document under its own name can't thin all others.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from .textops import U64, mix, slices, word_hashes
 TOPIC_BITS = 3
 SWEEPS, CLOSE = 40, 1e-4
 SMOOTH = 0.9  # power of the natural shares that the default targets follow
+TINY = 0.01  # share of all words that cells too small to set the scale hold together, at most
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -112,26 +116,42 @@ def rake(cells: DataFrame, source_shares: DataFrame | None = None, lang_shares:
     return weighed().withColumn("ratio", F.col("weight") / F.col("tokens")).drop("raw")
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, power: float = SMOOTH, **targets) -> DataFrame:
-    """``docs`` with n_tokens, topic, probability and kept: the documents sampled into the mixture.
+def scale_of(raked: DataFrame, tiny: float = TINY) -> float:
+    """The largest ratio once the cells of the highest ratios are left out that hold at most ``tiny`` of all words together (by steps of 2 %)."""
+    steps = raked.where("ratio > 0").groupBy(F.floor(F.log2("ratio") * 32).alias("step")).agg(F.sum("tokens").alias("n"), F.max("ratio").alias("top"))
+    rows = sorted(steps.collect(), key=lambda r: -r.step)  # 32 for each doubling of the ratio
+    whole, above = raked.agg(F.sum("tokens")).first()[0] or 0, 0
+    for r in rows:
+        above += r.n
+        if above > tiny * whole:
+            return r.top
+    return rows[-1].top if rows else 1.0
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, power: float = SMOOTH, tiny: float = TINY, **targets) -> DataFrame:
+    """``docs`` with n_tokens, topic, probability, shortfall and kept: the documents sampled into the mixture.
 
     A document is kept with the probability of its cell: the cell's ratio over
-    the largest ratio, so the rarest kind is kept whole and the mixture of the
-    others follows. Null source and language are kinds of their own. Documents
+    the scale, the largest ratio but for the cells of the highest ratios that
+    hold at most ``tiny`` of all words together. Those are kept whole, and
+    shortfall is the share of their target that they can't supply (0 for all
+    others). With ``tiny`` 0 the rarest kind sets the scale and all targets
+    are met. Null source and language are kinds of their own. Documents
     without words weigh nothing and are kept. Rows repeated with one id and
     text fall alike. Clashing columns are replaced; an empty table gives no rows.
     """
     scratch = Scratch(spark)
-    known = docs.select([c for c in docs.columns if c not in ("n_tokens", "topic", "probability", "kept")])
+    known = docs.select([c for c in docs.columns if c not in ("n_tokens", "topic", "probability", "shortfall", "kept")])
     sized = measured(known.select("doc_id", "text", "source", "lang")).drop("text")
     sized = scratch.write(sized)
     cells = sized.groupBy("source", "lang", F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
     raked = scratch.write(rake(scratch.write(cells), power=power, **targets))
-    top = raked.agg(F.max("ratio")).first()[0] or 1.0
-    rate = raked.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), (F.col("ratio") / F.lit(top)).alias("probability"))
+    top = scale_of(raked, tiny)
+    rate = raked.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), (F.col("ratio") / F.lit(top)).alias("wanted"))
     out = sized.join(rate, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")) & (F.col("__topic") == F.col("t")), "left")
-    out = out.withColumn("probability", F.when(F.col("__tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(1.0))
-    return out.select("doc_id", "source", "lang", F.col("__tokens").alias("n_tokens"), F.col("__topic").alias("topic"), "probability", (F.col("__unit") < F.col("probability")).alias("kept"))
+    out = out.withColumn("probability", F.when(F.col("__tokens") > 0, F.least(F.coalesce("wanted", F.lit(0.0)), F.lit(1.0))).otherwise(1.0))
+    out = out.withColumn("shortfall", F.when(F.col("wanted") > 1, 1 - 1 / F.col("wanted")).otherwise(0.0))
+    return out.select("doc_id", "source", "lang", F.col("__tokens").alias("n_tokens"), F.col("__topic").alias("topic"), "probability", "shortfall", (F.col("__unit") < F.col("probability")).alias("kept"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

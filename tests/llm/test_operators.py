@@ -169,6 +169,17 @@ def test_mixing_keeps_by_probability_and_repeats_alike(spark):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_a_stray_document_does_not_thin_the_other_sources(spark):
+    base = text(random.Random(5), 500)
+    rows = [(i, base, "en", "hot", 1) for i in range(200)] + [(999, base[:30], "en", "stray", 1)]
+    got = mixing.mix_sources(spark, table(spark, rows)).collect()
+    assert all(r.probability > 0.98 and r.shortfall == 0 for r in got if r.source == "hot")
+    stray = next(r for r in got if r.source == "stray")
+    assert stray.kept and stray.probability == 1 and 0.3 < stray.shortfall < 1
+    exact = mixing.mix_sources(spark, table(spark, rows), tiny=0).collect()
+    assert all(r.shortfall == 0 for r in exact) and max(r.probability for r in exact if r.source == "hot") < 0.6
+
+
 def test_mixing_of_odd_rows(spark):
     got = mixing.mix_sources(spark, odd(spark).withColumn("kept", F.lit("clash"))).collect()
     assert len(got) == 7 and all(r.kept and r.probability == 1 for r in got if r.n_tokens == 0)
