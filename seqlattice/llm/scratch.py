@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,13 +23,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_open: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear() -> None:
+    """Deletes all scratch tables of this driver; call it once results are stored. It also runs when the driver ends."""
+    for root, spark in list(_open.items()):
+        if spark._jsc.sc().isStopped():
+            continue
+        _delete(spark, root)
+        del _open[root]
+
+
 class Scratch:
-    """Names tables under one folder of the shared checkpoint root and can drop those no longer needed."""
+    """Names tables under one folder of the shared checkpoint root and can drop those no longer needed.
+
+    What a result still reads stays until clear() or the end of the driver.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        if not _open:
+            atexit.register(clear)
+        _open[self.root] = spark
 
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read back: its lineage ends here, and lost executors cost no recomputation."""
@@ -40,5 +64,4 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._scratch_path)

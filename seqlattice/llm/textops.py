@@ -12,16 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+SHORT = 64  # bytes; longer spans are hashed one by one
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_PARTIAL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], U64)
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,18 +34,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=U64))
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, U64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=U64)
-    return have
-
-
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """``batch`` cut into pieces of at most SLICE_BYTES of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -76,13 +65,49 @@ def runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from differences of a polynomial prefix sum."""
-    values = _BYTE_VALUE[_LOWER[raw] if lower else raw]
-    prefix = np.zeros(len(raw) + 1, U64)
-    np.cumsum(values * _powers_of(_BASE, len(raw))[: len(raw)], out=prefix[1:])
-    back = _powers_of(_BASE_INVERSE, len(raw) + 1)
-    return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(U64))
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; another seed gives another hash.
+
+    Spans of SHORT bytes or fewer are mixed eight bytes at a time, all spans
+    together, so unlike spans of up to eight bytes never meet; longer ones go
+    through XXH3 one by one.
+    """
+    data = _LOWER[raw] if lower else raw
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    sizes = ends - starts
+    h = mix(sizes.astype(U64) + U64(_BASE) * U64(2 * seed + 1))
+    rows = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+    for at in range(0, SHORT, 8):
+        rows = rows[sizes[rows] > at] if at else rows
+        if not len(rows):
+            break
+        h[rows] = mix(h[rows] ^ (eight[starts[rows] + at] & _PARTIAL[np.minimum(sizes[rows] - at, 8)]))
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data, seed)
+    return h
+
+
+def run_hashes(items: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run ``items[first:end]`` of 64-bit numbers, of one or more.
+
+    Hashes of 1, 2, 4, ... items from each place are built from those of half
+    as many; a run takes the two of the largest power that fits, at its start
+    and at its end.
+    """
+    size = end - first
+    power = np.frexp(size)[1] - 1
+    out = np.zeros(len(first), U64)
+    level = mix(items)
+    for k in range(int(power.max(initial=-1)) + 1):
+        at = np.flatnonzero(power == k)
+        out[at] = mix(mix(level[first[at]] + U64(_BASE)) ^ (level[end[at] - (1 << k)] * U64(3) + size[at].astype(U64)))
+        half = 1 << k
+        if len(level) <= half:
+            break
+        level = mix(mix(level[:-half] + U64(k + 1)) ^ (level[half:] * U64(3)))
+    return out
 
 
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

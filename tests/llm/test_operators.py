@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from seqlattice.llm import bpe, line_dedup, mixing, near_dedup, quality, secrets_scan, simhash, token_counts, topk, url_filter  # noqa: E402
+from seqlattice.llm import bpe, line_dedup, mixing, near_dedup, quality, secrets_scan, simhash, textops, token_counts, topk, url_filter  # noqa: E402
 from seqlattice.llm.components import connected_components  # noqa: E402
 from seqlattice.llm.scratch import Scratch  # noqa: E402
 
@@ -429,6 +429,89 @@ def test_patience_and_blocks():
     assert moved == [0, 1, 2, 4, 5, 6]
 
 
+def brute_lines(rows, least):
+    """Positions that each (doc_id, text) loses: lines of blocks of ``least`` words that any earlier document holds."""
+    docs = sorted({(i, t): t.split("\n") for i, t in rows}.items())
+    out = {}
+    for n, ((i, t), b) in enumerate(docs):
+        gone = set()
+        for (k, _), a in docs[:n]:
+            if k == i:
+                continue
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    if a[p] == b[q] and not (p and q and a[p - 1] == b[q - 1]):
+                        size = 0
+                        while p + size < len(a) and q + size < len(b) and a[p + size] == b[q + size]:
+                            size += 1
+                        if sum(len(x.split()) for x in b[q : q + size]) >= least:
+                            gone.update(range(q, q + size))
+        out[i, t] = sorted(gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_match_brute_force_over_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+    lines = [" ".join(rnd.choices(WORDS[:50], k=rnd.choice([0, 1, 4, 9]))) for _ in range(rnd.choice([6, 40]))]
+    passages = [rnd.choices(lines, k=rnd.randint(3, 12)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [x for _ in range(rnd.randint(0, 4)) for x in rnd.choice([rnd.choice(passages), rnd.choices(lines, k=3), [f"own {i} {rnd.random()}"]])]
+        rows.append((i, "\n".join(parts)))
+    want = brute_lines(rows, 20)
+    got = line_dedup.dedup_lines(spark, table(spark, rows), least=20).collect()
+    assert {(r.doc_id, dict(rows)[r.doc_id]): r.removed for r in got} == want
+    assert any(want.values())
+    for r in got:
+        old = dict(rows)[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for j, x in enumerate(old) if j not in r.removed)
+
+
+def test_a_block_of_two_passages_goes_whatever_holds_its_halves(spark):
+    one, two = (" ".join(random.Random(k).choices(WORDS, k=30)) for k in (1, 2))
+    rows = [(i, f"{one}\nown {i}") for i in range(1, 11)] + [(i, f"{two}\nown {i}") for i in range(11, 21)] + [(i, f"{one}\n{two}\nown {i}") for i in (21, 22)]
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark, table(spark, rows)).collect()}
+    assert got == {i: [0, 1] if i == 22 else [] for i in range(1, 23)}
+
+
+def test_unlike_texts_under_one_id_are_freed_apart(spark):
+    passage = " ".join(WORDS[:60])
+    rows = [(1, passage), (2, f"first\n{passage}"), (2, f"{passage}\nsecond"), (2, f"{passage}\nsecond"), (None, passage)]
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(spark, table(spark, rows)).collect())
+    assert got == [(0, passage), (1, passage), (2, "first"), (2, "second"), (2, "second")]
+
+
+def thue_morse(a, b, doublings):
+    x, y = [a], [b]
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_regular_texts_do_not_share_hashes(spark):
+    x, y = ("".join(t) for t in thue_morse("p", "q", 11))
+    (one,), (two,) = (textops.word_hashes(pa.array([t]))[0] for t in (x, y))
+    assert one != two
+    a, b = (np.array(t, np.uint64) for t in thue_morse(3, 4, 11))
+    whole = np.array([0]), np.array([len(a)])
+    assert textops.run_hashes(a, *whole) != textops.run_hashes(b, *whole)
+    rows = [(1, f"{x}\n" + " ".join(WORDS[:60])), (2, f"{y}\n" + " ".join(WORDS[:60]))]
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark, table(spark, rows)).collect()}
+    assert got == {1: [], 2: [1]}
+    near = near_dedup.near_duplicates(spark, table(spark, [(1, x), (2, y)]), k=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in near} == {1: 1, 2: 2}
+
+
+def test_hashes_follow_the_bytes_alone():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abé日", k=rnd.choice([1, 2, 7, 8, 9, 30, 64, 65, 300]))) for _ in range(500)]
+    alone = {w: textops.word_hashes(pa.array([w]))[0][0] for w in words}
+    together = textops.word_hashes(pa.array([" ".join(words[:200]), None, " ".join(words[200:])]))[0]
+    assert [alone[w] for w in words] == together.tolist()
+    assert len(set(alone.values())) == len(set(words))
+
+
 # 9 URLs
 
 
