@@ -76,6 +76,25 @@ def test_topk_matches_brute_force_with_ties_nulls_and_other_lengths(spark, monke
     assert sorted(map(tuple, topk.top_k(spark, df).collect())) == brute_topk(rows)
 
 
+def test_topk_of_large_components_is_exact(spark):
+    rows = [(0, [1.0, 1.0]), (1, [300000.0, 0.0]), (2, [400000.0, 0.0]), (3, [2.0**21 + 1 / 256, 2.0**21]), (4, [2.0**21, 2.0**21]), (50, [3.0**15, 1.0])]
+    exact = {i: [int(256 * x) for x in v] for i, v in rows}
+    scores = {q: sorted(((sum(x * y for x, y in zip(exact[q], exact[c], strict=True)), c) for c in exact if c != q), key=lambda p: (-p[0], p[1])) for q in (0, 50)}
+    got = sorted(map(tuple, topk.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(q, n + 1, c, s) for q in (0, 50) for n, (s, c) in enumerate(scores[q][:5])]
+    assert next(s for q, n, c, s in got if q == 0 and c == 2) == 400000 * 256 * 256
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(spark, spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_rotations_of_many_lengths_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROTATED", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=1 + i % 6).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(spark, df).collect())) == brute_topk(rows)
+
+
 def test_topk_with_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, -0.5]), (7, [0.25, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(spark, df).collect()] == [(0, 1, 7, 256 * 64 - 128 * 128)]
