@@ -85,7 +85,7 @@ def runs_of(outlined: DataFrame, least: int) -> DataFrame:
                 new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), *[pa.array(batch[c].to_numpy()[owner[new]]) for c in ("doc_id", "unit")]], names=["hash", "doc_id", "unit"])
 
-    return outlined.where("doc_id IS NOT NULL").mapInArrow(run, "hash long, doc_id long, unit long")
+    return outlined.mapInArrow(run, "hash long, doc_id long, unit long")
 
 
 def longest_rise(values: list[int]) -> list[int]:
@@ -206,7 +206,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST_WORDS)
     an empty text. Clashing columns are replaced.
     """
     scratch = Scratch(spark)
-    outlined = scratch.write(outlines(docs.select(F.col("doc_id").cast("long"), "text")))
+    named = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    outlined = scratch.write(outlines(named).dropDuplicates(["doc_id", "unit"]))  # read anew, so that the joins below can split the rows of a document with very many partners
     blocks = scratch.write(runs_of(outlined, least))
     own = F.struct("doc_id", "unit")
     held = blocks.groupBy("hash").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first < last")
@@ -215,9 +216,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST_WORDS)
     pairs = scratch.write(pairs.select(F.col("doc_id").alias("b"), F.col("unit").alias("b_unit"), F.col("first.doc_id").alias("a"), F.col("first.unit").alias("a_unit")).distinct())
     scratch.drop(blocks)
     scratch.drop(held)
-    one = outlined.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "unit"])
-    left = one.select(F.col("doc_id").alias("a"), F.col("unit").alias("a_unit"), F.col("hashes").alias("a_hashes"))
-    right = one.select(F.col("doc_id").alias("b"), F.col("unit").alias("b_unit"), F.col("hashes").alias("b_hashes"), F.col("words").alias("b_words"))
+    left = outlined.select(F.col("doc_id").alias("a"), F.col("unit").alias("a_unit"), F.col("hashes").alias("a_hashes"))
+    right = outlined.select(F.col("doc_id").alias("b"), F.col("unit").alias("b_unit"), F.col("hashes").alias("b_hashes"), F.col("words").alias("b_words"))
     sides = pairs.join(left, ["a", "a_unit"]).join(right, ["b", "b_unit"])
     gone = align(sides, least).select(F.col("doc_id").alias("__id"), F.col("unit").alias("__unit"), F.explode("lines").alias("line"))
     gone = scratch.write(gone.groupBy("__id", "__unit").agg(F.array_sort(F.collect_set("line")).alias("removed")))

@@ -12,8 +12,9 @@
    recall wanted at the threshold.
 3. Candidate links make clusters. Inside a cluster full sets are compared
    exactly, all against all, and spanning links of what reaches the threshold
-   are kept; clusters too large for one task are cut into chunks and compared
-   chunk by chunk in cells.
+   are kept. Clusters too large for one task are cut into chunks: each chunk
+   meets the cluster's first set, and only sets that it doesn't reach meet all
+   others, chunk by chunk in cells.
 4. Components of the exact links give the groups.
 
 No pair list of a group ever exists: nodes and cells give spanning links only.
@@ -153,30 +154,41 @@ def compare_leaves(members: DataFrame, least: int) -> DataFrame:
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning links of all pairs with 100 * intersection >= percent * union, by counting every pair's common shingles.
+def _alike(common, p, q, percent: int):
+    return 100 * common >= percent * (p + q - common)
 
-    The first set is compared with all; sets it doesn't reach are compared
-    with every other one, by products of incidence matrices.
-    """
+
+def reached(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each set has 100 * intersection >= percent * union with the first one."""
     n = np.array([len(s) for s in sets])
-    forest = Forest(len(sets))
-    alike = lambda common, p, q: 100 * common >= percent * (p + q - common)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     at = np.minimum(np.searchsorted(sets[0], flat), len(sets[0]) - 1)
     common = np.bincount(owner[sets[0][at] == flat], minlength=len(sets))
-    near = alike(common, n[0], n)
-    for j in np.flatnonzero(near)[1:]:
-        forest.join(0, int(j))
-    rest = np.flatnonzero(~near)
+    return _alike(common, n[0], n, percent)
+
+
+def exact_links(sets: list[np.ndarray], percent: int, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links of all pairs with 100 * intersection >= percent * union, by counting every pair's common shingles.
+
+    Sets ``asked`` (by default those that the first set doesn't reach) are
+    compared with every other one, by products of incidence matrices.
+    """
+    n = np.array([len(s) for s in sets])
+    forest = Forest(len(sets))
+    if asked is None:
+        near = reached(sets, percent)
+        for j in np.flatnonzero(near)[1:]:
+            forest.join(0, int(j))
+        rest = np.flatnonzero(~near)
+    else:
+        rest = np.flatnonzero(asked)
     if len(rest):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         code = np.cumsum(np.append(0, flat[1:] != flat[:-1])) if len(flat) else flat
         shared = np.bincount(code)[code] > 1
         code, owner = np.unique(code[shared], return_inverse=True)[1], owner[shared]
-        where = np.full(len(sets), -1)
-        where[rest] = np.arange(len(rest))
         inter = np.zeros((len(rest), len(sets)), np.float32)
         width = max(256, 4_000_000 // len(sets))
         edges = np.searchsorted(code, np.arange(0, (code[-1] if len(code) else -1) + 1 + width, width))
@@ -185,29 +197,83 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             x[owner[p:q], code[p:q] - step * width] = 1
             inter += x[rest] @ x.T
         inter = inter.astype(np.int64)
-        i, j = np.nonzero(alike(inter, n[rest][:, None], n[None, :]))
+        i, j = np.nonzero(_alike(inter, n[rest][:, None], n[None, :], percent))
         for a, b in zip(rest[i].tolist(), j.tolist(), strict=True):
             if a != b:
                 forest.join(a, b)
     return forest.links
 
 
-def verify(cells: DataFrame, k: int, percent: int) -> DataFrame:
-    """Exact spanning links (a, b) of each (cluster, cell) of rows (cluster, cell, rep, text)."""
+def with_sets(members: DataFrame, k: int) -> DataFrame:
+    """``members`` (with a column text) with set, the sorted hashes of distinct shingles, in the text's place."""
+    schema = members.withColumn("set", F.lit(b"")).drop("text").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sets = binaries([s.tobytes() for s in shingle_sets(batch["text"], k)])
+                yield pa.RecordBatch.from_arrays([sets if f.name == "set" else batch[f.name] for f in schema], names=[f.name for f in schema])
+
+    return members.mapInArrow(run, schema)
+
+
+WHOLE, STAR, REST, ALL = 0, 1, 2, 3  # roles of a row in a cell
+
+
+def verify(cells: DataFrame, percent: int) -> DataFrame:
+    """Exact spanning links (a, b) of each (cluster, cell) of rows (cluster, cell, role, rep, set).
+
+    Rows of a WHOLE cell meet each other, rows of a STAR cell the cluster's
+    first set, REST rows of the other cells all rows of their cell.
+    """
     keys = ["cluster", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, keys):
             bounds = group_bounds(table, keys)
-            rep = table["rep"].to_numpy()
-            sets = [s for b in table.to_batches() for piece in slices(b) for s in shingle_sets(piece["text"], k)]
-            links = [np.array(exact_links(sets[a:b], percent), np.int64).reshape(-1, 2) + a for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
-            pairs = np.concatenate([np.zeros((0, 2), np.int64), *links])
-            yield pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], names=["a", "b"])
+            cluster, role, rep = (table[c].to_numpy() for c in ("cluster", "role", "rep"))
+            sets = [np.frombuffer(s, U64) for s in table["set"].to_pylist()]
+            links = [np.zeros((0, 2), np.int64)]
+            for at, to in zip(bounds[:-1], bounds[1:], strict=True):
+                own = sets[at:to]
+                if role[at] == WHOLE:
+                    found = exact_links(own, percent)
+                elif role[at] == STAR:
+                    hub = int(np.flatnonzero(rep[at:to] == cluster[at])[0])
+                    near = reached([own[hub], *own], percent)[1:]
+                    found = [(hub, int(j)) for j in np.flatnonzero(near)]
+                else:
+                    found = exact_links(own, percent, role[at:to] == REST)
+                links.append(np.array(found, np.int64).reshape(-1, 2) + at)
+            pairs = np.concatenate(links)
+            a, b = rep[pairs[:, 0]], rep[pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def links_in_clusters(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
+    """Exact spanning links (a, b) inside clusters of rows (cluster, rep, chunk, chunks, set)."""
+    columns = ["cluster", "cell", "role", "rep", "set"]
+    role = lambda x: F.lit(x).alias("role")
+    cell = F.when((F.col("chunks") > 1) & (F.col("rep") == F.col("cluster")), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    first = members.select("cluster", "rep", "set", "chunks", F.explode(cell.cast("array<bigint>")).alias("cell")).withColumn("role", F.when(F.col("chunks") > 1, STAR).otherwise(WHOLE))
+    links = scratch.write(verify(first.select(*columns), percent))
+    large = members.where("chunks > 1")
+    rest = large.where("rep <> cluster").join(links.select(F.col("b").alias("rep")), "rep", "left_anti")
+    rest = scratch.write(rest)
+    parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("parts"), F.first("chunks").alias("n"))
+    if rest.isEmpty():
+        return links
+    parts = scratch.write(parts.withColumnRenamed("cluster", "of"))
+    at = lambda p, q: (p.cast("long") * F.col("n") + q).alias("cell")
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), "parts")
+    asking = rest.join(parts, F.col("cluster") == F.col("of")).select("cluster", "rep", "set", "n", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"))
+    others = large.join(parts, F.col("cluster") == F.col("of")).select("cluster", "rep", "set", "n", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    cells = asking.select("cluster", at(F.col("p"), F.col("q")), role(REST), "rep", "set").unionByName(others.select("cluster", at(F.col("p"), F.col("chunk")), role(ALL), "rep", "set"))
+    return links.unionByName(verify(cells, percent))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id and kept of every row of ``docs`` (doc_id, text).
 
@@ -251,12 +317,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     total = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_SETS)).cast("int").alias("chunks"))
     total = total.withColumnRenamed("cluster", "of")
     chunked = sized.join(total, F.col("cluster") == F.col("of")).select("rep", "cluster", "chunks", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"))
-    chunked = scratch.write(chunked)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = chunked.join(texts, F.col("rep") == F.col("id")).select("cluster", "rep", "text", "chunk", "chunks", other.alias("other"))
-    cells = cells.select("cluster", "rep", "text", (F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")).alias("cell"))
-    groups = connected_components(scratch, verify(cells, k, percent))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    members = scratch.write(with_sets(chunked.join(texts, F.col("rep") == F.col("id")).drop("id"), k).where(F.length("set") > 0))
+    groups = connected_components(scratch, links_in_clusters(scratch, members, percent))
 
     known = classes.join(groups, F.col("rep") == F.col("id"), "left").select(F.col("set1").alias("s1"), F.col("set2").alias("s2"), "rep", "component")
     own = rows.join(known, (F.col("set1") == F.col("s1")) & (F.col("set2") == F.col("s2")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")

@@ -131,6 +131,24 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent):
     assert got == brute_near(rows, k, percent)
 
 
+def test_recall_at_the_threshold_in_large_nodes(spark):
+    """Texts that share 60 % of a template fill nodes beyond LEAF on several levels; pairs hidden among them are just alike enough."""
+    rnd = random.Random(2)
+    shared, rows = [f"t{i}" for i in range(90)], []
+    for pair in range(1500):
+        own = [*shared, *(f"p{pair}x{j}" for j in range(60))]
+        other = own[:-13] + [f"q{pair}x{j}" for j in range(13)]
+        rows += [(2 * pair, " ".join(own)), (2 * pair + 1, " ".join(other))]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (rows[0][1].split(), rows[1][1].split(), rows[2][1].split())]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    assert 0.8 <= likeness(sets[0], sets[1]) < 0.85 and 0.35 < likeness(sets[0], sets[2]) < 0.6
+    rnd.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, table(spark, rows)).collect()}
+    found = sum(got[2 * p + 1] == got[2 * p] == 2 * p for p in range(1500)) / 1500
+    print("recall", found)
+    assert found >= 0.99
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(spark, odd(spark).withColumn("component_id", F.lit("clash")), 3, 85).collect()
     assert len(got) == 7
