@@ -1,12 +1,10 @@
-"""Secret scans over a trigram index, in DataFrame functions only.
+"""Secret scans over a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression gives a Boolean query over trigrams that every
-match must contain. The index is partitioned by document: a bit mask on each
-row says which of the queries' trigrams its text holds, so each posting list
-lies in slices beside the texts it points to, and intersecting lists is bit
-arithmetic without a shuffle. Only candidates are verified with the regular
-expression; rules without a mandatory trigram scan every text.
-``postings`` gives the same index by trigram, for search over a stored corpus.
+match must contain. The index lists, for each trigram that the rules ask for,
+the texts that hold it. Its posting lists are intersected and united by each
+rule's query, which gives the rule's candidates; only these are verified with
+the regular expression. Rules without a mandatory trigram scan every text.
 """
 
 from __future__ import annotations
@@ -122,27 +120,35 @@ def _grams(query) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(_grams, query[1]))
 
 
-def _holds(query, bit: dict[str, int], mask: Column) -> Column:
+def _holds(query, held: Column) -> Column:
+    """Whether the set of trigrams ``held`` satisfies the query."""
     if isinstance(query, str):
-        return mask.bitwiseAND(F.lit(1 << bit[query])) != 0
+        return F.array_contains(held, query)
     if query[0] == "and" and all(isinstance(x, str) for x in query[1]):
-        want = sum(1 << bit[x] for x in query[1])
-        return mask.bitwiseAND(F.lit(want)) == want
-    return reduce(and_ if query[0] == "and" else or_, [_holds(x, bit, mask) for x in query[1]])
+        return F.forall(F.array(*[F.lit(x) for x in query[1]]), lambda g: F.array_contains(held, g))
+    return reduce(and_ if query[0] == "and" else or_, [_holds(x, held) for x in query[1]])
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """The index by trigram: (trigram, doc_id) for every trigram of the rules' queries in every whole text."""
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, key: str = "doc_id") -> DataFrame:
+    """The index: (trigram, ``key``) for every trigram of the rules' queries in every whole text."""
     grams = sorted(set().union(*(_grams(trigram_query(r.pattern)) for r in rules)))
-    low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
-    return low.select(F.explode(held).alias("trigram"), "doc_id")
+    low = docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    held = F.filter(F.array(*[F.lit(g) for g in grams]).cast("array<string>"), lambda g: F.contains("low", g))
+    return low.select(F.explode(held).alias("trigram"), key)
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, key: str = "doc_id") -> DataFrame:
+    """(``key``, rules): the numbers of the rules whose queries the posting lists of ``index`` satisfy; rules without a query are left out."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    held = index.groupBy(key).agg(F.collect_set("trigram").alias("held"))  # as many as the rules have trigrams
+    met = [F.when(_holds(q, F.col("held")), F.lit(i)) for i, q in enumerate(queries) if q is not None]
+    return held.select(key, F.filter(F.array(*met).cast("array<int>"), lambda i: i.isNotNull()).alias("rules")).where(F.size("rules") > 0)
 
 
 def _spans(rule: Rule, order: int, text: Column, candidate: Column | None) -> Column:
-    """The rule's spans as (start, order, end, kind), from the lengths of matches and of the gaps between them.
+    """The rule's spans as (start, order, end, kind), from the lengths of matches and of the gaps between them; positions are code points.
 
-    Works in one pass over the matches of one text; positions are code points.
+    A candidate without a match is passed over once.
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     sized = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else F.transform(found, F.length)
@@ -160,7 +166,8 @@ def _spans(rule: Rule, order: int, text: Column, candidate: Column | None) -> Co
         return F.struct((begin + p["m"]).alias("at"), F.when(p["s"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return spans if candidate is None else F.when(candidate, spans).otherwise(F.array().cast(kind))
+    found = F.rlike(text, F.lit(rule.pattern))
+    return F.when(found if candidate is None else candidate & found, spans).otherwise(F.array().cast(kind))
 
 
 def scan_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
@@ -168,22 +175,21 @@ def scan_secrets(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rul
 
     Adds base_spans and all_spans (arrays of (start, ord, end, kind) by start,
     then rule order; code points, end exclusive). Null text counts as empty.
-    Repeated rows stay; clashing columns are replaced. No shuffle.
+    Repeated rows stay; clashing columns are replaced. Texts are told by a
+    hash of doc_id and text: should two meet, both are verified. The index is
+    shuffled once by text, and texts once to meet their rules.
     """
     rules = base + more
-    queries = [trigram_query(r.pattern) for r in rules]
-    grams = sorted(set().union(*map(_grams, queries)))
-    if len(grams) > 63:
-        raise ValueError("the rules ask for more than 63 trigrams; scan in several calls")
-    bit = {g: i for i, g in enumerate(grams)}
     kept = [c for c in docs.columns if c not in ("base_spans", "all_spans")]
-    df = docs.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    df = df.withColumn("__low", F.lower("__text"))
-    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains("__low", F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for g, i in bit.items()], F.lit(0).cast("long"))
-    df = df.withColumn("__mask", mask).drop("__low")
-    spans = [_spans(r, i, F.col("__text"), None if q is None else _holds(q, bit, F.col("__mask"))) for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
+    df = docs.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("__text")).withColumn("__row", F.xxhash64("doc_id", "__text"))
+    index = postings(df.select("__row", F.col("__text").alias("text")), rules, "__row")
+    found = candidates(index, rules, "__row").withColumnsRenamed({"__row": "__of", "rules": "__rules"})
+    # one plan at every size: the side that is held in memory has row keys and rule numbers only
+    df = df.join(found.hint("shuffle_hash"), F.col("__row") == F.col("__of"), "left")
+    asked = F.coalesce("__rules", F.array().cast("array<int>"))
+    spans = [_spans(r, i, F.col("__text"), None if trigram_query(r.pattern) is None else F.array_contains(asked, i)) for i, r in enumerate(rules)]
     df = df.withColumn("base_spans", F.array_sort(F.concat(*spans[: len(base)])))
-    return df.withColumn("all_spans", F.array_sort(F.concat("base_spans", *spans[len(base) :])) if more else F.col("base_spans")).drop("__text", "__mask")
+    return df.withColumn("all_spans", F.array_sort(F.concat("base_spans", *spans[len(base) :])) if more else F.col("base_spans")).drop("__text", "__row", "__of", "__rules")
 
 
 def listed(spans: Column) -> Column:

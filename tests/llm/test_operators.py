@@ -373,6 +373,26 @@ def test_postings_name_every_holder(spark):
     assert got == {(g, i) for i, t in rows for g in grams if g in (t or "").lower()}
 
 
+def test_only_candidates_are_verified(spark):
+    """Candidates follow the postings: a rule whose posting lists lack a text finds nothing there, whatever the text holds."""
+    rules = (secrets_scan.Rule("pair", r"alpha[0-9]beta"), secrets_scan.Rule("either", r"(gamma|delta)=x"), secrets_scan.Rule("free", r"[0-9]{3}"))
+    rows = [(1, "alpha1beta"), (2, "beta alpha"), (3, "only alpha"), (4, "gamma=x"), (5, "DELTA=x delta=x 123"), (6, "gam mma =x"), (7, None)]
+    index = secrets_scan.postings(table(spark, rows), rules)
+    got = {r.doc_id: r.rules for r in secrets_scan.candidates(index, rules).collect()}
+    assert got == {1: [0], 2: [0], 4: [1], 5: [1]}
+    spans = {r.doc_id: r.s for r in secrets_scan.scan_secrets(table(spark, rows), rules, ()).select("doc_id", secrets_scan.listed(F.col("all_spans")).alias("s")).collect()}
+    assert spans == {1: "pair:0:10", 2: "", 3: "", 4: "either:0:7", 5: "either:8:15,free:16:19", 6: "", 7: ""}
+
+
+def test_rules_may_ask_for_any_number_of_trigrams(spark):
+    rnd = random.Random(4)
+    names = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(30)]
+    rules = tuple(secrets_scan.Rule(n, f"{n}=[0-9]+") for n in names)
+    rows = [(i, f"{n}=42 {n}=x") for i, n in enumerate(names)]
+    got = {r.doc_id: r.s for r in secrets_scan.scan_secrets(table(spark, rows), rules, ()).select("doc_id", secrets_scan.listed(F.col("all_spans")).alias("s")).collect()}
+    assert got == {i: f"{n}:0:15" for i, n in enumerate(names)}
+
+
 # 7 quality
 
 
