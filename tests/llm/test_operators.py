@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -301,6 +302,25 @@ def test_fingerprints_follow_the_texts_and_the_order(spark):
     assert sum(r.near_edited > r.near_next for r in big) >= 35
 
 
+def test_fingerprints_are_the_votes_of_weighted_terms(spark):
+    def brute(t):
+        words = re.split(r"[\x20\x09-\x0D]+", t.lower())
+        votes, whole = [0] * 64, 0
+        for w, after in zip(words, [*words[1:], None], strict=True):
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            h = h if after is None else xxhash.xxh64_intdigest(after.encode(), h)
+            whole += len(w)
+            for i in range(64):
+                votes[i] += len(w) * (h >> i & 1)
+        fp = sum(1 << i for i in range(64) if 2 * votes[i] > whole)
+        return fp - (1 << 64) if fp >> 63 else fp
+
+    rnd = random.Random(6)
+    texts = ["", " ", "one", "A b\tC", "ümläut 日本 😀", *(text(rnd, rnd.randint(1, 80)) for _ in range(40))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string")
+    assert {r.n: r.fp for r in simhash.fingerprints(df, ["n"], "text").collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_near_fingerprints_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TABLE_CHUNK", 5)
     rnd = random.Random(7)
