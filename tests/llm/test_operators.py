@@ -253,6 +253,49 @@ def test_edits_give_the_counts_of_a_fresh_split():
             assert counted.chars == len(now)
 
 
+def test_kept_leaves_give_the_counts_of_a_fresh_split(monkeypatch):
+    monkeypatch.setattr(token_counts, "LEAF", 5)
+    counter = token_counts.Counter(bpe.read_ranks(public_tokenizers.path(token_counts.VOCABULARY)), public_tokenizers.PATTERN)
+    rnd = random.Random(21)
+    bits = ["a", "word", " ", "  ", "\n", "\n\n", " \n ", "'s", "'", "12", "3", "!", "?!", "é", "日本", "\t", "It'll", " x"]
+    for _ in range(150):
+        old = token_counts.CountedText("".join(rnd.choices(bits, k=rnd.randint(0, 120))), counter)
+        for _ in range(3):
+            start = rnd.randint(0, old.chars)
+            old.edit(start, start + rnd.choice([0, 0, 2, 9]), "".join(rnd.choices(bits, k=rnd.choice([0, 1, 5, 200]))))
+            again = token_counts.CountedText(old.text(), counter, old.sums())
+            assert again.encoded == 0 or not again.source
+            at = rnd.randint(0, old.chars)
+            again.edit(at, at + rnd.choice([0, 1, 4]), rnd.choice(bits))
+            assert again.tokens == len(counter.encode(again.text())) == sum(t for _, t in again.sums())
+            assert again.encoded < 40
+            old = again
+
+
+def test_a_second_batch_starts_from_the_leaves_of_the_first(spark):
+    rows = [(1, " ".join(WORDS * 20)), (2, ""), (3, None), (4, "two words")]
+    first = table(spark, rows).withColumn("edits", token_counts.standard_edits(F.col("text")))
+    path, pattern = public_tokenizers.path(token_counts.VOCABULARY), public_tokenizers.PATTERN
+    one = token_counts.count_edits(spark, first, path, pattern, keep=True).select("doc_id", F.col("edited_text").alias("text"), F.col("edited_leaves").alias("known"), "n_tokens_edited", "n_pretokens")
+    two = token_counts.count_edits(spark, one.drop("n_pretokens").withColumnRenamed("n_tokens_edited", "was").withColumn("edits", token_counts.standard_edits(F.col("text"))), path, pattern, leaves="known", keep=True)
+    fresh = token_counts.count_edits(spark, one.drop("known").withColumn("edits", token_counts.standard_edits(F.col("text"))), path, pattern)
+    want = {r.doc_id: r.n_tokens_edited for r in fresh.collect()}
+    for r in two.collect():
+        assert r.n_tokens == r.was and r.n_tokens_edited == want[r.doc_id]
+        assert r.n_pretokens == 0 and (r.n_reencoded < 500)
+    broken = one.withColumn("known", F.array(F.struct(F.lit(3).alias("chars"), F.lit(1).alias("tokens")))).withColumn("edits", F.lit(None).cast(token_counts.EDITS))
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_edits(spark, broken, path, pattern, leaves="known").collect()} == {r.doc_id: r.was for r in two.collect()}
+
+
+def test_a_long_insertion_leaves_the_other_leaves_alone():
+    counter = token_counts.Counter(bpe.read_ranks(public_tokenizers.path(token_counts.VOCABULARY)), public_tokenizers.PATTERN)
+    counted = token_counts.CountedText(" ".join(WORDS * 100), counter)
+    before = counted.encoded
+    counted.edit(1000, 1000, " inserted words" * 1000)
+    assert counted.tokens == len(counter.encode(counted.text()))
+    assert counted.encoded - before < 2200
+
+
 def test_a_full_memory_of_counts_starts_anew(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_SIZE", 10)
     c, rnd = counter(), random.Random(15)
