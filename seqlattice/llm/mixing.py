@@ -1,10 +1,11 @@
 """Mixing sources to target weights: iterative proportional fitting over source, language and topic.
 
-Token weights are summed by cell (source, language, topic) and raked until the
+Token weights (a token is a word here) are summed by cell (source, language, topic) and raked until the
 weighted sums meet the target shares of sources, of languages and of topics.
 The factor of a source is worked out inside its own group of cells, so any
 number of sources stays distributed; each sweep is one job that brings only
-the sums by language and topic back to the driver. Documents are then kept
+the sums by language and topic back to the driver, where they stand in one
+matrix. Documents are then kept
 with the calibrated probability of their cell, by a hash of their content. The
 scale follows the cells that matter: those of the highest ratios that hold no
 more than TINY of all words together are kept whole and fall short of their
@@ -67,10 +68,13 @@ def rake(cells: DataFrame, source_shares: DataFrame | None = None, lang_shares:
     """``cells`` (source, lang, topic, tokens) with ``ratio``: the calibrated share of the mixture a token of the cell stands for.
 
     Targets default to the natural shares to ``power``. source_shares has
-    source and share; sources that it lacks share nothing. The numbers of
-    languages and topics are small and their sums are kept on the driver;
-    sources are not. Cells without tokens get ratio 0.
+    source and share; sources that it lacks share nothing. Languages by topics
+    make a matrix on the driver; sources don't. Cells without tokens get ratio
+    0. Adds residual, how far a language's or topic's weight is from its target
+    at most: under ``close``, unless the targets can't be met or ``sweeps``
+    were not enough.
     """
+    spark = cells.sparkSession
     cells = cells.where("tokens > 0")
     if source_shares is None:
         by_source = cells.groupBy("source").agg((F.sum("tokens").cast("double") ** power).alias("raised"))
@@ -81,39 +85,45 @@ def rake(cells: DataFrame, source_shares: DataFrame | None = None, lang_shares:
         cells = cells.join(asked, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("share", F.coalesce("share", F.lit(0.0)))
     sums = {(r.lang, r.topic): float(r.t) for r in cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("t")).collect()}
     langs, topics = sorted({k[0] for k in sums}, key=str), sorted({k[1] for k in sums}, key=str)
-    lang_shares = lang_shares or smoothed({x: sum(v for k, v in sums.items() if k[0] == x) for x in langs}, power)
-    topic_shares = topic_shares or smoothed({x: sum(v for k, v in sums.items() if k[1] == x) for x in topics}, power)
-    f, g = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
+    row, column = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(topics)}
 
-    def weighed() -> DataFrame:
-        def factor(name: str, factors: dict):
-            out = F.lit(0.0)
-            for k, v in factors.items():
-                out = F.when(F.col(name).eqNullSafe(F.lit(k)), F.lit(v)).otherwise(out)
-            return out
+    def matrix(values: dict) -> np.ndarray:
+        out = np.zeros((len(langs), len(topics)))
+        for (x, y), v in values.items():
+            out[row[x], column[y]] = v
+        return out
+
+    natural = matrix(sums)
+    lang_shares = lang_shares or smoothed(dict(zip(langs, natural.sum(1).tolist(), strict=True)), power)
+    topic_shares = topic_shares or smoothed(dict(zip(topics, natural.sum(0).tolist(), strict=True)), power)
+    targets = np.array([lang_shares.get(x, 0.0) for x in langs]), np.array([topic_shares.get(x, 0.0) for x in topics])
+    f, g = np.ones(len(langs)), np.ones(len(topics))
 
-        raw = F.col("tokens") * factor("lang", f) * factor("topic", g)
+    def weighed() -> DataFrame:
+        rows = [(x, y, float(f[row[x]] * g[column[y]])) for x, y in sums]
+        factors = spark.createDataFrame(rows, cells.select(F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.lit(0.0).alias("__f")).schema)
+        raw = cells.join(factors, F.col("lang").eqNullSafe(F.col("__l")) & F.col("topic").eqNullSafe(F.col("__t"))).withColumn("raw", F.col("tokens") * F.col("__f")).drop("__l", "__t", "__f")
         total = F.sum("raw").over(Window.partitionBy("source"))
-        return cells.withColumn("raw", raw).withColumn("weight", F.when(total > 0, F.col("share") * F.col("raw") / total).otherwise(0.0))
+        return raw.withColumn("weight", F.when(total > 0, F.col("share") * F.col("raw") / total).otherwise(0.0))
 
-    for _ in range(sweeps):
-        now = {(r.lang, r.topic): r.w for r in weighed().groupBy("lang", "topic").agg(F.sum("weight").alias("w")).collect()}
+    off = 0.0
+    for _ in range(sweeps if sums else 0):
+        now = matrix({(r.lang, r.topic): r.w for r in weighed().groupBy("lang", "topic").agg(F.sum("weight").alias("w")).collect()})
         off = 0.0
         for _ in range(50):  # settle languages and topics between two passes over the sources
             moved = 0.0
-            for side, factors, shares, at in ((0, f, lang_shares, langs), (1, g, topic_shares, topics)):
-                for x in at:
-                    have = sum(v for k, v in now.items() if k[side] == x)
-                    scale = shares.get(x, 0.0) / have if have > 0 else 1.0
-                    factors[x] *= scale
-                    now = {k: v * scale if k[side] == x else v for k, v in now.items()}
-                    moved = max(moved, abs(have - shares.get(x, 0.0)))
+            for axis, factors, target in ((1, f, targets[0]), (0, g, targets[1])):
+                have = now.sum(axis)
+                moved = max(moved, float(np.abs(have - target).max()))
+                scale = np.divide(target, have, out=np.ones_like(have), where=have > 0)
+                factors *= scale
+                now = now * (scale[:, None] if axis else scale[None, :])
             off = max(off, moved)
             if moved < close / 10:
                 break
         if off < close:
             break
-    return weighed().withColumn("ratio", F.col("weight") / F.col("tokens")).drop("raw")
+    return weighed().withColumn("ratio", F.col("weight") / F.col("tokens")).withColumn("residual", F.lit(off)).drop("raw")
 
 
 def scale_of(raked: DataFrame, tiny: float = TINY) -> float:
@@ -129,29 +139,32 @@ def scale_of(raked: DataFrame, tiny: float = TINY) -> float:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, power: float = SMOOTH, tiny: float = TINY, **targets) -> DataFrame:
-    """``docs`` with n_tokens, topic, probability, shortfall and kept: the documents sampled into the mixture.
+    """n_tokens, topic, probability, shortfall, residual and kept of each row of ``docs``: the documents sampled into the mixture.
 
+    Columns beside them: doc_id, source, lang and text_key, a hash of the text.
+    The tokens that weigh are words of the whole text, apart by white space.
     A document is kept with the probability of its cell: the cell's ratio over
     the scale, the largest ratio but for the cells of the highest ratios that
     hold at most ``tiny`` of all words together. Those are kept whole, and
     shortfall is the share of their target that they can't supply (0 for all
     others). With ``tiny`` 0 the rarest kind sets the scale and all targets
     are met. Null source and language are kinds of their own. Documents
-    without words weigh nothing and are kept. Rows repeated with one id and
-    text fall alike. Clashing columns are replaced; an empty table gives no rows.
+    without words weigh nothing and are kept. Rows without id fall by their
+    text, rows repeated with one id and text fall alike. residual is how far
+    the raking stayed from its targets. Other columns are ignored; an empty
+    table gives no rows.
     """
     scratch = Scratch(spark)
-    known = docs.select([c for c in docs.columns if c not in ("n_tokens", "topic", "probability", "shortfall", "kept")])
-    sized = measured(known.select("doc_id", "text", "source", "lang")).drop("text")
+    sized = measured(docs.select("doc_id", "text", "source", "lang")).withColumn("text_key", F.xxhash64("text")).drop("text")
     sized = scratch.write(sized)
     cells = sized.groupBy("source", "lang", F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
     raked = scratch.write(rake(scratch.write(cells), power=power, **targets))
     top = scale_of(raked, tiny)
-    rate = raked.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), (F.col("ratio") / F.lit(top)).alias("wanted"))
+    rate = raked.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), (F.col("ratio") / F.lit(top)).alias("wanted"), "residual")
     out = sized.join(rate, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")) & (F.col("__topic") == F.col("t")), "left")
     out = out.withColumn("probability", F.when(F.col("__tokens") > 0, F.least(F.coalesce("wanted", F.lit(0.0)), F.lit(1.0))).otherwise(1.0))
     out = out.withColumn("shortfall", F.when(F.col("wanted") > 1, 1 - 1 / F.col("wanted")).otherwise(0.0))
-    return out.select("doc_id", "source", "lang", F.col("__tokens").alias("n_tokens"), F.col("__topic").alias("topic"), "probability", "shortfall", (F.col("__unit") < F.col("probability")).alias("kept"))
+    return out.select("doc_id", "source", "lang", "text_key", F.col("__tokens").alias("n_tokens"), F.col("__topic").alias("topic"), "probability", "shortfall", "residual", (F.col("__unit") < F.col("probability")).alias("kept"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

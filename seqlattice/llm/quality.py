@@ -95,8 +95,39 @@ def descend(loss, p: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
     return p
 
 
+class Ordinal:
+    """The mean negative log-likelihood of grades under cumulative links, with a ridge, and its gradient.
+
+    Parameters: a weight for each column, a first threshold and the logarithms
+    of the steps up to the next ones, so that thresholds stay ordered.
+    """
+
+    def __init__(self, owner: np.ndarray, column: np.ndarray, grades: np.ndarray, width: int, ridge: float):
+        self.owner, self.column, self.grades, self.width, self.ridge = owner, column, grades, width, ridge
+        by_column = np.argsort(column, kind="stable")
+        self.owner_by_column = owner[by_column]
+        self.starts = np.searchsorted(column[by_column], np.arange(width))
+
+    def cuts(self, p: np.ndarray) -> np.ndarray:
+        return p[self.width] + np.concatenate([[0.0], np.cumsum(np.exp(p[self.width + 1 :]))])
+
+    def __call__(self, p: np.ndarray) -> tuple[float, np.ndarray]:
+        w, rows, grades, ridge, cut = self.width, len(self.grades), self.grades, self.ridge, self.cuts(p)
+        score = np.bincount(self.owner, p[self.column], rows)
+        a, b = (1 / (1 + np.exp(-np.clip(x - score, -500, 500))) for x in (np.append(-1e3, cut)[grades], np.append(cut, 1e3)[grades]))
+        chance = np.maximum(b - a, 1e-12)
+        da, db = a * (1 - a) / chance / rows, b * (1 - b) / chance / rows
+        slope = db - da  # by the score
+        g = np.empty_like(p)
+        g[:w] = (np.add.reduceat(slope[self.owner_by_column], self.starts) if w else 0) + ridge * p[:w]
+        by_cut = np.bincount(grades, -db, GRADES)[:-1] + np.bincount(grades, da, GRADES)[1:]
+        g[w] = by_cut.sum()
+        g[w + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(p[w + 1 :]) + ridge * p[w + 1 :]
+        return float(-np.log(chance).mean() + ridge / 2 * (p[:w] @ p[:w] + p[w + 1 :] @ p[w + 1 :])), g
+
+
 def fit_ordinal(owner: np.ndarray, bucket: np.ndarray, grades: np.ndarray, rounds: int = 200, ridge: float = 1e-5, rare: int = 5, telling: float = 2.5) -> Model:
-    """Minimises the mean negative log-likelihood with a ridge.
+    """Fits weights and thresholds.
 
     Weights go to warning signs: buckets held by ``rare`` rows or more whose
     mean grade is ``telling`` standard errors or more below the overall mean.
@@ -109,35 +140,13 @@ def fit_ordinal(owner: np.ndarray, bucket: np.ndarray, grades: np.ndarray, round
     del count, apart
     owner, bucket = owner[use[bucket]], bucket[use[bucket]]
     known, column = np.unique(bucket, return_inverse=True)
-    rows, w = len(grades), len(known)
-    by_column = np.argsort(column, kind="stable")
-    owner_by_column = owner[by_column]
-    starts = np.searchsorted(column[by_column], np.arange(w))
-
-    def cuts(p: np.ndarray) -> np.ndarray:
-        """A first threshold and the logarithms of the steps up: they stay ordered."""
-        return p[w] + np.concatenate([[0.0], np.cumsum(np.exp(p[w + 1 :]))])
-
-    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
-        cut = cuts(p)
-        score = np.bincount(owner, p[column], rows)
-        a, b = (1 / (1 + np.exp(-np.clip(x - score, -500, 500))) for x in (np.append(-1e3, cut)[grades], np.append(cut, 1e3)[grades]))
-        chance = np.maximum(b - a, 1e-12)
-        da, db = a * (1 - a) / chance / rows, b * (1 - b) / chance / rows
-        slope = db - da  # by the score
-        g = np.empty_like(p)
-        g[:w] = (np.add.reduceat(slope[owner_by_column], starts) if w else 0) + ridge * p[:w]
-        by_cut = np.bincount(grades, -db, GRADES)[:-1] + np.bincount(grades, da, GRADES)[1:]
-        g[w] = by_cut.sum()
-        g[w + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(p[w + 1 :]) + ridge * p[w + 1 :]
-        return float(-np.log(chance).mean() + ridge / 2 * (p[:w] @ p[:w] + p[w + 1 :] @ p[w + 1 :])), g
-
-    below = np.cumsum(np.bincount(grades, minlength=GRADES) + 1.0)[:-1] / (rows + GRADES)
+    loss = Ordinal(owner, column, grades, len(known), ridge)
+    below = np.cumsum(np.bincount(grades, minlength=GRADES) + 1.0)[:-1] / (len(grades) + GRADES)
     first = np.log(below / (1 - below))
-    p = descend(loss, np.concatenate([np.zeros(w), first[:1], np.log(np.maximum(np.diff(first), 1e-3))]), rounds)
+    p = descend(loss, np.concatenate([np.zeros(len(known)), first[:1], np.log(np.maximum(np.diff(first), 1e-3))]), rounds)
     weights = np.zeros(BUCKETS, np.float32)
-    weights[known] = p[:w]
-    return Model(weights, cuts(p))
+    weights[known] = p[: len(known)]
+    return Model(weights, loss.cuts(p))
 
 
 def grade(quality, toxic):

@@ -218,6 +218,21 @@ def test_a_stray_document_does_not_thin_the_other_sources(spark):
     assert all(r.shortfall == 0 for r in exact) and max(r.probability for r in exact if r.source == "hot") < 0.6
 
 
+def test_raking_tells_what_it_could_not_meet(spark):
+    rows = [("a", "en", 0, 10), ("b", "de", 1, 10), ("b", "en", 0, 5)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic int, tokens long")
+    met = mixing.rake(cells).collect()
+    assert all(r.residual < mixing.CLOSE for r in met)
+    langs, topics = {"en": 0.9, "de": 0.1}, {0: 0.1, 1: 0.9}  # language and topic say the same of these cells
+    assert all(r.residual > 0.1 for r in mixing.rake(cells, None, langs, topics, sweeps=3).collect())
+
+
+def test_mixing_takes_thousands_of_languages(spark):
+    rows = [(i, "a few words here", f"l{i % 3000}", "s", 1) for i in range(6000)]
+    got = mixing.mix_sources(spark, table(spark, rows)).collect()
+    assert len(got) == 6000 and all(r.residual < 0.01 and 0.99 < r.probability <= 1 for r in got)
+
+
 def test_mixing_of_odd_rows(spark):
     got = mixing.mix_sources(spark, odd(spark).withColumn("kept", F.lit("clash"))).collect()
     assert len(got) == 7 and all(r.kept and r.probability == 1 for r in got if r.n_tokens == 0)
@@ -479,6 +494,27 @@ def test_the_classifier_learns_and_its_tails_are_ordered(spark):
     assert all(0 <= r.tail_probability <= r.expected_grade <= 2 for r in got.values())
 
 
+def test_likelihood_and_gradient_match_the_definition():
+    rng = np.random.default_rng(7)
+    rows, width = 40, 6
+    held = rng.random((rows, width)) < 0.4
+    owner, column = np.nonzero(held)
+    grades = rng.integers(0, quality.GRADES, rows)
+    loss = quality.Ordinal(owner, column, grades, width, 0.01)
+    p = rng.normal(size=width + quality.GRADES - 1)
+    cuts = np.cumsum([p[width], *np.exp(p[width + 1 :])])
+    below = lambda k, score: 0.0 if k < 0 else 1.0 if k >= len(cuts) else 1 / (1 + np.exp(-(cuts[k] - score)))
+    chances = [below(g, held[i] @ p[:width]) - below(g - 1, held[i] @ p[:width]) for i, g in enumerate(grades)]
+    value, g = loss(p)
+    assert abs(value - (-np.mean(np.log(chances)) + 0.005 * (p[:width] @ p[:width] + p[width + 1 :] @ p[width + 1 :]))) < 1e-9
+    for i in range(len(p)):
+        step = np.zeros(len(p))
+        step[i] = 1e-6
+        assert abs((loss(p + step)[0] - loss(p - step)[0]) / 2e-6 - g[i]) < 1e-6
+    best = quality.descend(loss, p, 500)
+    assert np.abs(loss(best)[1]).max() < 1e-3 and loss(best)[0] < value
+
+
 def test_classifier_of_odd_rows_and_labels(spark):
     lab = spark.createDataFrame([(3, 1, 0), (3, 0, None), (None, 1, 1), (4, None, 1)], "doc_id long, quality int, toxic int")
     assert quality.classify(spark, odd(spark).withColumn("selected", F.lit("clash")), lab).count() == 7

@@ -1,7 +1,12 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+import hashlib
+import random
+
 import duckdb
+import numpy as np
 import pytest
+from test_operators import brute_lines, brute_near
 
 pytest.importorskip("seqlattice.llm")
 from seqlattice.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
@@ -55,3 +60,50 @@ def test_near_dedup_stage_leaves_one_of_each_group(spark, small):
     rows = [(9, base, "en", "a", 1), (4, base + " more", "en", "b", 1), (7, base.upper(), "en", "c", 1), (8, "quite another text of its own", "en", "a", 1), (8, "quite another text of its own", "en", "a", 1)]
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, small).collect()) == [4, 8]
+
+
+def test_pipeline_stages_match_brute_force(spark, small):
+    """Every stage after the first against plain Python on the rows that the stage before it left."""
+    rnd = random.Random(31)
+    lines = [" ".join(rnd.choices([f"w{i}" for i in range(300)], k=12)) for _ in range(30)]
+    rows = []
+    for i in range(1, 90):
+        body = rows[rnd.randrange(len(rows))][1].split("\n") if rows and rnd.random() < 0.3 else [" ".join(rnd.choices([f"v{j}" for j in range(900)], k=9)) for _ in range(6)]
+        if rnd.random() < 0.4:
+            body = body + lines[(at := rnd.randrange(20)) : at + rnd.randint(2, 8)]
+        if rnd.random() < 0.5:
+            body[0] = body[0] + f" own{i}"
+        rows.append((i, "\n".join(body), rnd.choice(["en", "de", None]), rnd.choice("abc"), len("\n".join(body))))
+    rows += [(200, None, "en", "a", None), (201, "", None, None, 0), (None, "no id", "en", "a", 5), rows[3]]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
+
+    freed = corpus_pipeline.drop_repeated_lines(spark, docs, small)
+    gone = brute_lines([(i, t or "") for i, t, *_ in rows if i is not None], 50)
+    want = []
+    for i, t, lang, source, n in rows:
+        drop = gone.get((i, t or ""), [])
+        left = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop) if drop else t
+        if not drop or left.strip():
+            want.append((i, left, lang, source, len(left) if drop else n))
+    assert sorted(map(str, map(tuple, freed.collect()))) == sorted(map(str, want))
+    assert any(gone.values())
+
+    one = corpus_pipeline.keep_one_of_each_group(spark, freed, small)
+    groups = brute_near([(i, t) for i, t, *_ in want if i is not None], 5, 80)
+    expected = [*{r for r in want if r[0] is not None and groups[r[0]][1] == r[0]}, *(r for r in want if r[0] is None)]
+    assert sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, expected))
+    assert len(expected) < len(want)
+
+    kept = corpus_pipeline.mix_to_targets(spark, one, small)
+    chances = {(r.doc_id, r.text_key): (r.probability, r.kept) for r in corpus_pipeline.mixing.mix_sources(spark, one).collect()}
+    assert kept.count() == sum(k for _, k in chances.values())
+    assert all(k for p, k in chances.values() if p == 1)
+
+    coded = corpus_pipeline.encode(spark, kept, small).collect()
+    texts = {r.doc_id: r.text or "" for r in kept.collect()}
+    assert sorted(str(r.doc_id) for r in coded) == sorted(map(str, texts))
+    ranks = corpus_pipeline.bpe.read_ranks(corpus_pipeline.public_tokenizers.path(corpus_pipeline.bpe.VOCABULARY))
+    for r in coded:
+        ids = np.frombuffer(r.token_ids, "<u4")
+        assert b"".join(ranks[i] for i in ids).decode() == texts[r.doc_id] and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(r.token_ids).hexdigest()
