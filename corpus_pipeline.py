@@ -16,34 +16,60 @@ from seqlattice.session import ship
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the highest grade reaches one half."""
+    """Documents whose probability of the highest grade reaches one half.
+
+    Null and empty texts have no warning signs and get what the thresholds
+    alone say. Repeated rows are judged alike and stay; an empty table stays
+    empty; without labels all documents stay. All columns of ``docs`` and no
+    others come out, whatever their names.
+    """
     rated = quality.classify(ship(spark), docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rated.where("selected").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without blocks of lines that an earlier one holds; those of which nothing is left go."""
+    """Documents without blocks of lines that an earlier one (smaller doc_id) holds; those of which nothing is left go.
+
+    n_chars follows the text. Null and empty texts stay as they are, and so
+    do rows without doc_id. Rows repeated with one id and text lose the same
+    lines; unlike texts under one id are documents of their own.
+    """
     freed = line_dedup.dedup_lines(ship(spark), docs)
     left = freed.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8); rows repeated under one id become one."""
+    """One document (that of the smallest doc_id) of each group of near-duplicates (five words, similarity 0.8).
+
+    Null and wordless texts are in no group and stay, and so do rows without
+    doc_id. Rows repeated with one id and text become one, the smallest by
+    their other columns; unlike texts under one id stay or go together.
+    """
     found = near_dedup.near_duplicates(ship(spark), docs, k=5, percent=80)
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")).select(docs.columns)
+    named = left.where("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return named.select("row.*").unionByName(left.where("doc_id IS NULL"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics meet their target shares."""
-    chosen = mixing.mix_sources(ship(spark), docs).where("NOT kept").select(F.col("doc_id").alias("gone")).where("gone IS NOT NULL").distinct()
-    return docs.join(chosen, docs["doc_id"] == chosen["gone"], "left_anti").select(docs.columns)
+    """Documents sampled so that sources, languages and topics meet their target shares.
+
+    Null source and language are kinds of their own; null and wordless texts
+    weigh nothing and stay. Each row falls by its id and text: rows without id
+    by their text alone, repeated rows alike.
+    """
+    chosen = mixing.mix_sources(ship(spark), docs).where("NOT kept").select(F.col("doc_id").alias("gone"), F.col("text_key")).distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["gone"]) & (F.xxhash64(docs["text"]) == chosen["text_key"]), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of them and of what they decode to."""
+    """Token ids of every document, and digests of them and of what they decode to.
+
+    One row for each row of ``docs``, repeated ones too; null text counts as
+    empty and has no tokens.
+    """
     coded = bpe.encode_texts(ship(spark), docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
