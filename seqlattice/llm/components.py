@@ -11,24 +11,26 @@ from .scratch import Scratch
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b long): component is the smallest id reachable.
 
-    Each round is a partial aggregation and a join on the vertex. Both sides
-    of a join are read from shared storage, so that the rows of a vertex with
-    very many neighbours can be split over tasks; lineage stays short and a
-    lost executor costs one round. Rounds grow with the logarithm of the
-    number of vertices. Null ends and loops are ignored.
+    Each round is two partial aggregations and joins on the vertex. The joins
+    ask for a second key, the vertex's hash, so that the aggregated side is
+    dealt anew beside the edges and AQE can split the rows of a vertex with
+    very many neighbours over tasks. The edges are written to shared storage
+    after every round, so lineage stays short and a lost executor costs one
+    round. Rounds grow with the logarithm of the number of vertices. Null ends
+    and loops are ignored.
     """
+    twice = lambda df: df.withColumn("h", F.xxhash64("v"))
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = scratch.write(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
-        large = scratch.write(both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u").distinct())
-        small_low = scratch.write(large.groupBy("v").agg(F.min("u").alias("m")))
-        star = large.join(small_low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
+        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        large = twice(both).join(twice(low), ["v", "h"]).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u").distinct()
+        small_low = large.groupBy("v").agg(F.min("u").alias("m"))
+        star = twice(large).join(twice(small_low), ["v", "h"]).select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
         after = scratch.write(star.select("e.v", "e.u").where("v > u").distinct())
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        for done in (now, low, large, small_low):
-            scratch.drop(done)
+        scratch.drop(now)
         now = after
         if seen == mark:
             break
