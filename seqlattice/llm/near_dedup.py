@@ -39,7 +39,7 @@ TOKENS = 48  # minwise tokens of a signature
 LEAF = 200  # classes that a node may hold to be compared exhaustively
 LEVELS, PER_LEVEL = 4, 2  # of a tree, and tokens chosen from one level to the next
 MISSED = 1e-6  # chance that all trees part a pair at the threshold before the first leaves
-CHUNK_SETS, CHUNK_SHINGLES = 1_024, 1_000_000  # of a cluster, in one exact comparison
+CHUNK_SETS, CHUNK_SHINGLES = 256, 500_000  # of a cluster, in one exact comparison
 _FACTORS = mix(np.arange(1001, 1001 + TOKENS, dtype=U64)) | U64(1)
 _ADDENDS = mix(np.arange(5001, 5001 + TOKENS, dtype=U64))
 
@@ -299,8 +299,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     members = branch(classes, trees)
     for level in range(LEVELS):
         members = scratch.write(members)
-        sizes = scratch.write(members.groupBy("node").count().where("count > 1").withColumnRenamed("node", "at"))  # read anew, so that the join can split large nodes
-        inside = scratch.write(members.join(sizes, F.col("node") == F.col("at")).select("node", "rep", (F.col("count") > LEAF).alias("large")).distinct())
+        # a second key deals the counts anew beside the members, so that the join can split large nodes
+        sizes = members.groupBy("node").count().where("count > 1").withColumn("h", F.xxhash64("node"))
+        inside = members.withColumn("h", F.xxhash64("node")).join(sizes, ["node", "h"]).select("node", "rep", (F.col("count") > LEAF).alias("large")).distinct()
+        inside = scratch.write(inside)
         scratch.drop(members)
         signed = inside.join(classes.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).drop("r")
         links.append(compare_leaves(signed.where("NOT large"), least))
