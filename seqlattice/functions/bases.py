@@ -36,7 +36,7 @@ def kmer_text(seq: Column | str) -> Column:
     return F.translate(_col(seq), "N", "A")
 
 
-def dinucleotide(seq: Column | str, at: Column) -> Column:
-    """Code 0-24 of the pair at ``at`` (from 1): five times the first code plus the second."""
-    codes = encode(seq)
-    return F.substring(codes, at, F.lit(1)).cast("int") * 5 + F.substring(codes, at + 1, F.lit(1)).cast("int")
+def dinucleotides(seq: Column | str) -> Column:
+    """Array of the codes 0-24 of neighbouring bases: five times the first code plus the second."""
+    pairs = F.regexp_extract_all(encode(seq), F.lit("(?=(..))"), F.lit(1))
+    return F.transform(pairs, lambda p: F.conv(p, 5, 10).cast("int"))

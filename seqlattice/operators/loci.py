@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.bases import reverse_complement
 from ..functions.scores import flank, locus_weight
+from .tiles import longest_of, look_up
 
 LOCUS = ["chrom_idx", "start", "stop", "strand"]
 
@@ -20,12 +21,17 @@ def hits_of(places: DataFrame) -> DataFrame:
     )
 
 
-def locus_sequences(genome: DataFrame, hits: DataFrame, by: int = 5) -> DataFrame:
-    """Hits with locus: the bases from start - by to stop + by inside the chromosome, as the read lies there."""
-    at = hits.join(genome.select("chrom_idx", "seq", "seq_len"), "chrom_idx")
-    start, stop = flank(F.col("start"), F.col("stop"), F.col("seq_len"), by)
-    at = at.withColumn("locus_start", start).withColumn("locus_stop", stop)
-    plus = F.substring("seq", (F.col("locus_start") + 1).cast("int"), (F.col("locus_stop") - F.col("locus_start")).cast("int"))
+def locus_sequences(genome: DataFrame, hits: DataFrame, by: int = 5, longest: int | None = None) -> DataFrame:
+    """Hits with locus: the bases from start - by to stop + by inside the chromosome, as the read lies there.
+
+    ``longest`` is the length of the longest hit, by default looked up in
+    ``hits``; a longer one is an error.
+    """
+    longest = (longest_of(hits, F.col("stop") - F.col("start")) if longest is None else longest) + 2 * by
+    at = look_up(hits.withColumn("locus_start", F.greatest(F.col("start") - by, F.lit(0))), genome, "locus_start", longest)
+    at = at.withColumn("locus_stop", flank(F.col("start"), F.col("stop"), F.col("seq_len"), by)[1])
+    size = (F.col("locus_stop") - F.col("locus_start")).cast("int")
+    plus = F.when(size > longest, F.raise_error(F.lit("a locus is longer than was said"))).otherwise(F.substring("part", F.lit(1), size))
     return at.withColumn("locus", F.when(F.col("strand") == "-", reverse_complement(plus)).otherwise(plus)).select(*hits.columns, "locus_start", "locus_stop", "locus")
 
 

@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bases import kmer_text, reverse_complement
+from .tiles import cut, longest_of, look_up
 
-SEED, STEP, LONGEST, TILE = 12, 8, 64, 65_536
+SEED, STEP, LONGEST, TILE = 12, 8, 64, 256
 LEFT, RIGHT, TOP = 0, 10, 10
 
 
 def genome_kmers(genome: DataFrame, k: int = SEED, tile: int = TILE) -> DataFrame:
-    """(chrom_idx, pos, kmer), pos from 0. Chromosomes are first cut into tiles that overlap by k-1 bases, so a long one is many rows of work."""
-    tiles = genome.select("chrom_idx", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.col("seq_len") - k, F.lit(0)), F.lit(tile))).alias("at"))
-    tiles = tiles.select("chrom_idx", "at", kmer_text(F.substring("seq", F.col("at") + 1, F.lit(tile + k - 1))).alias("part")).where(F.length("part") >= k)
-    kmers = tiles.select("chrom_idx", "at", "part", F.explode(F.sequence(F.lit(1), F.length("part") - k + 1)).alias("i"))
-    return kmers.select("chrom_idx", (F.col("at") + F.col("i") - 1).alias("pos"), F.substring("part", F.col("i"), F.lit(k)).alias("kmer"))
+    """(chrom_idx, pos, kmer), pos from 0. Chromosomes are cut into short tiles that overlap by k-1 bases, so a long one is many rows of work."""
+    size = max(tile, k)
+    tiles = genome.select("chrom_idx", F.posexplode(cut(kmer_text("seq"), size, k - 1)).alias("tile", "part")).where(F.length("part") >= k)
+    kmers = tiles.select("chrom_idx", "tile", "part", F.explode(F.sequence(F.lit(1), F.length("part") - k + 1)).alias("i"))
+    return kmers.select("chrom_idx", (F.col("tile") * size + F.col("i") - 1).alias("pos"), F.substring("part", F.col("i"), F.lit(k)).alias("kmer"))
 
 
 def read_seeds(reads: DataFrame, k: int = SEED, step: int = STEP) -> DataFrame:
-    """(read_id, strand, offset, kmer) of both strands, from the first 64 bases; reverse seeds end where the read ends."""
+    """(read_id, strand, offset, kmer) of both strands, from the first 64 bases (the rest of a longer read takes no part in the search); reverse seeds end where the read ends."""
     first = lambda c: F.substring(c, F.lit(1), F.lit(LONGEST))
     forward = reads.select("read_id", F.lit("+").alias("strand"), first(kmer_text("seq")).alias("s"), F.lit(0).alias("from"))
     back = reads.select("read_id", F.lit("-").alias("strand"), first(kmer_text(reverse_complement("seq"))).alias("s"))
@@ -36,7 +37,10 @@ def read_seeds(reads: DataFrame, k: int = SEED, step: int = STEP) -> DataFrame:
 
 
 def seed_hits(genome: DataFrame, reads: DataFrame, k: int = SEED, step: int = STEP) -> DataFrame:
-    """(read_id, strand, offset, chrom_idx, pos): seeds found in the genome; seeds of A only are left out before the join."""
+    """(read_id, strand, offset, chrom_idx, pos): seeds found in the genome; seeds of A only are left out before the join.
+
+    Both sides are dealt by k-mer, so the rows of a very common one can be split over tasks.
+    """
     dull = F.repeat(F.lit("A"), F.lit(k))
     seeds = read_seeds(reads, k, step).where(F.col("kmer") != dull)
     return genome_kmers(genome, k).where(F.col("kmer") != dull).join(seeds, "kmer").select("read_id", "strand", "offset", "chrom_idx", "pos")
@@ -65,11 +69,10 @@ def windows(genome: DataFrame, reads: DataFrame, places: DataFrame, left: int =
     """The text that each (read_id, strand, chrom_idx, diagonal) is compared with, inside the chromosome, and the read as it lies there."""
     seq = reads.select("read_id", "seq", reverse_complement("seq").alias("rc"))
     joined = places.join(seq, "read_id").withColumn("read", F.when(F.col("strand") == "+", F.col("seq")).otherwise(F.col("rc"))).drop("seq", "rc")
-    at = joined.join(genome.select("chrom_idx", F.col("seq").alias("chrom_seq"), "seq_len"), "chrom_idx")
-    start = F.greatest(F.col("diagonal") - left, F.lit(0))
-    stop = F.least(F.col("diagonal") + F.length("read") + right, F.col("seq_len"))
-    cut = at.withColumn("window_start", start).withColumn("window", F.substring("chrom_seq", F.col("window_start") + 1, F.greatest(stop - F.col("window_start"), F.lit(0))))
-    return cut.select("read_id", "strand", "chrom_idx", "diagonal", "read", "window_start", "window")
+    joined = joined.withColumn("window_start", F.greatest(F.col("diagonal") - left, F.lit(0)))
+    at = look_up(joined, genome, "window_start", longest_of(reads, F.length("seq")) + left + right)
+    size = F.greatest(F.col("diagonal") + F.length("read") + right - F.col("window_start"), F.lit(0))
+    return at.select("read_id", "strand", "chrom_idx", "diagonal", "read", "window_start", F.substring("part", F.lit(1), size.cast("int")).alias("window"))
 
 
 def best_matches(patterns: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import bases
 from ..functions.scores import adler32, dcode, parse_dcode
 from ..operators import alignments, loci, seeding
+from ..operators.tiles import longest_of
+from ..session import scratch_path
 from ..sources.fixtures import GENOME_SQL, READS_SQL, genome, reads
-from ..sources.formats import parse_sam_lines, sam_hits
+from ..sources.formats import parse_sam_lines, read_bed, read_fasta, read_reads, read_sam, sam_hits
 
 K, STEP = seeding.SEED, seeding.STEP
 DULL = "A" * K
@@ -83,8 +85,12 @@ def exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loci.hits_of(ranked.join(lengths, "read_id").withColumn("start", F.col("diagonal").cast("long")))
 
 
+def longest_read(spark: SparkSession, sf_dir: str) -> int:
+    return longest_of(reads(spark, sf_dir), F.length("seq"))
+
+
 def locus_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loci.locus_sequences(genome(spark, sf_dir), exact_hits(spark, sf_dir)).select("read_id", "hit_idx", "locus_start", "locus_stop", "locus")
+    return loci.locus_sequences(genome(spark, sf_dir), exact_hits(spark, sf_dir), longest=longest_read(spark, sf_dir)).select("read_id", "hit_idx", "locus_start", "locus_stop", "locus")
 
 
 def locus_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +137,101 @@ def dcode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "file", *[c.alias(k) for c, k in zip(parse_dcode(F.col("file")), keys, strict=True)])
 
 
+def longest_read_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).agg(F.max(F.length("seq")).alias("longest"))
+
+
+def reversed_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualities made from the bases, and of one read in three none, as they stand on the other strand."""
+    qual = F.when(F.col("read_id") % 3 == 0, F.lit("*")).otherwise(F.translate("seq", "ACGT", "!5?I"))
+    return reads(spark, sf_dir).select("read_id", bases.reverse_qualities(qual).alias("qual"))
+
+
+def _pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment paths made from hits as SQL can follow them: the read laid against its locus base by base.
+
+    Flanks face outer gaps; by hit, one base is now inserted, now deleted, at a place that follows from the ids.
+    """
+    h = locus_rows(spark, sf_dir).join(reads(spark, sf_dir).select("read_id", F.col("seq").alias("own")), "read_id")
+    n, m = F.length("own"), F.length("locus")
+    lead = F.when(F.col("strand") == "-", F.col("locus_stop") - F.col("stop")).otherwise(F.col("start") - F.col("locus_start")).cast("int")
+    kind, at = (F.col("read_id") + F.col("hit_idx")) % 3, ((F.col("read_id") * 7 + F.col("hit_idx")) % 9 + 3).cast("int")
+    shift = lambda i: F.when((kind == 1) & (i > at), 1).when((kind == 2) & (i >= at), -1).otherwise(0)
+    letter = lambda s, i: F.instr(F.lit("ACGT"), F.substring(s, i, F.lit(1))) - 1
+
+    def columns(i):
+        g = lead + i + shift(i)
+        base = F.when((kind == 2) & (i == at), 5).when((g < 1) | (g > m), 5).otherwise(letter("locus", g))
+        one = letter("own", i) * 16 + base
+        skipped = F.array(one, 80 + letter("locus", g + 1))
+        return F.when((kind == 1) & (i == at) & (g >= 0) & (g < m), skipped).otherwise(F.array(one))
+
+    flank = lambda a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda i: 80 + letter("locus", i))).otherwise(F.array().cast("array<int>"))
+    end = lead + n + shift(n)
+    path = F.concat(flank(F.lit(1), lead), F.flatten(F.transform(F.sequence(F.lit(1), n), columns)), flank(end + 1, m))
+    return h.select("read_id", "hit_idx", "strand", path.alias("path"))
+
+
+def locus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loci.locus_sequences(genome(spark, sf_dir), exact_hits(spark, sf_dir), longest=longest_read(spark, sf_dir))
+
+
+def cigar_md_nm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths rendered as they lie on the genome's plus strand."""
+    path = F.when(F.col("strand") == "-", alignments.reverse_path(F.col("path"))).otherwise(F.col("path"))
+    return _pairing(spark, sf_dir).select("read_id", "hit_idx", alignments.rendered(path).alias("r")).select("read_id", "hit_idx", "r.*")
+
+
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genome written as FASTA, in lines of 60 bases, and read again."""
+    g = genome(spark, sf_dir)
+    body = F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n")
+    path = scratch_path(spark)
+    g.select(F.concat(F.lit(">"), "chrom", F.lit(" of "), F.col("seq_len").cast("string"), F.lit("\n"), body).alias("record")).write.text(path)
+    return read_fasta(spark, path)
+
+
+def reads_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ and as FASTA and read again."""
+    r = reads(spark, sf_dir).withColumn("qual", F.translate("seq", "ACGT", "!@>I"))
+    out = []
+    for kind, record in (("fastq", F.concat(F.lit("@"), "name", F.lit(" x\n"), "seq", F.lit("\n+\n"), "qual")), ("fasta", F.concat(F.lit(">"), "name", F.lit("\n"), "seq"))):
+        path = scratch_path(spark)
+        r.select(record.alias("record")).write.text(path)
+        out.append(read_reads(spark, path).select(F.lit(kind).alias("kind"), "name", "seq", "qual"))
+    return out[0].unionByName(out[1])
+
+
+def bed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chromosomes as BED lines of three to six columns among comments, parsed."""
+    g, i = genome(spark, sf_dir), F.col("chrom_idx")
+    three = F.concat_ws("\t", "chrom", (i % 7).cast("string"), (i % 7 + F.col("seq_len")).cast("string"))
+    line = F.when(i % 5 == 0, F.concat(F.lit("#"), three)).when(i % 5 == 1, three).when(i % 5 == 2, F.concat(three, F.lit("\tname"))).otherwise(F.concat(three, F.lit("\tname\t0\t"), F.when(i % 2 == 0, "+").otherwise("-")))
+    path = scratch_path(spark)
+    g.select(line.alias("line")).write.text(path)
+    return read_bed(spark, path)
+
+
+def sam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and seed records written as a SAM file and read again: all fields, also those of unaligned reads."""
+    path = scratch_path(spark)
+    lines = sam_render_seed(spark, sf_dir).select(F.col("read_id").alias("chrom_idx"), F.lit(0).cast("long").alias("pos"), "line")
+    alignments.write_sam(genome(spark, sf_dir), lines, path, version="1.3", order="coordinate")
+    head = spark.read.text(path).where(F.col("value").startswith("@")).select(F.lit("@").alias("name"), F.col("value").alias("fields"))
+    e = read_sam(spark, path)
+    fields = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "nm", "xa")])
+    return head.unionByName(e.select("name", fields.alias("fields")))
+
+
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named by the documents' ids, with and without folder, id and code, listed by suffix."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id")
+    i = F.col("doc_id")
+    code = F.when(i % 2 == 0, dcode(*[(i + k) % 256 for k in range(5)]))
+    run = F.when(i % 3 == 0, F.concat(F.lit("run"), i.cast("string")))
+    return rows.select("doc_id", alignments.output_names(F.lit("aln"), F.lit("sam"), F.when(i % 5 == 0, F.lit("out/")), run, code).alias("file"))
+
+
 KMERS_SQL = f"""kmers AS (SELECT chrom_idx, i - 1 AS pos, substr(seq, i, {K}) AS kmer FROM (SELECT chrom_idx, seq, unnest(range(1, seq_len - {K} + 2)) AS i FROM genome))"""
 SEEDS_SQL = f"""strands AS (SELECT read_id, '+' AS strand, substr(seq, 1, 64) AS s, 0 AS o FROM reads
   UNION ALL SELECT read_id, '-', substr(reverse(translate(seq, 'ACGT', 'TGCA')), 1, 64), (least(length(seq), 64) - {K}) % {STEP} FROM reads),
@@ -165,10 +266,59 @@ QUERIES = {
     for f in (
         base_composition, encoded_bases, reverse_complement, kmer_histogram, kmer_prefix_sum, seed_index, seed_hits, seed_diagonals, seed_suppression, verify_windows,
         verify_edit_distance, top10_hits, exact_hits, locus_sequence, locus_weight, sam_render_seed, sam_parse_xa, sam_unaligned, sam_header, place_digest, dcode_roundtrip,
+        longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, reads_roundtrip, bed_roundtrip, sam_roundtrip, output_names,
     )
 }
 
+# a path's columns as rows: i counts read bases; d = 1 for a genome base that the read skips; f marks flanks
+PATHS_SQL = f"""{LOCI_SQL},
+ways AS (SELECT *, length(seq) AS n, length(locus) AS m, CASE WHEN strand = '-' THEN locus_stop - stop ELSE start - locus_start END AS lo, (read_id + hit_idx) % 3 AS kind, (read_id * 7 + hit_idx) % 9 + 3 AS spot FROM loci),
+steps AS (SELECT read_id, hit_idx, strand, seq, locus, n, m, lo, kind, spot, i, lo + i + CASE WHEN kind = 1 AND i > spot THEN 1 WHEN kind = 2 AND i >= spot THEN -1 ELSE 0 END AS g FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM ways)),
+cols AS (SELECT read_id, hit_idx, strand, n, i AS o, 0 AS d, 0 AS f, substr(seq, CAST(i AS BIGINT), 1) AS r, CASE WHEN kind = 2 AND i = spot OR g < 1 OR g > m THEN '-' ELSE substr(locus, CAST(g AS BIGINT), 1) END AS b FROM steps
+  UNION ALL SELECT read_id, hit_idx, strand, n, i, 1, 0, '-', substr(locus, CAST(g + 1 AS BIGINT), 1) FROM steps WHERE kind = 1 AND i = spot AND g >= 0 AND g < m
+  UNION ALL SELECT read_id, hit_idx, strand, n, i - lo, 0, 1, '-', substr(locus, CAST(i AS BIGINT), 1) FROM (SELECT *, unnest(range(1, lo + 1)) AS i FROM ways)
+  UNION ALL SELECT read_id, hit_idx, strand, n, n + i, 0, 1, '-', substr(locus, CAST(lo + n + shift + i AS BIGINT), 1) FROM (SELECT *, unnest(range(1, m - lo - n - shift + 1)) AS i FROM (SELECT *, CASE WHEN kind = 1 AND n > spot THEN 1 WHEN kind = 2 AND n >= spot THEN -1 ELSE 0 END AS shift FROM ways))),
+plus AS (SELECT read_id, hit_idx, row_number() OVER (PARTITION BY read_id, hit_idx ORDER BY CASE WHEN strand = '-' THEN -o ELSE o END, CASE WHEN strand = '-' THEN -d ELSE d END) AS p,
+  CASE WHEN strand = '-' THEN translate(r, 'ACGT', 'TGCA') ELSE r END AS r, CASE WHEN strand = '-' THEN translate(b, 'ACGT', 'TGCA') ELSE b END AS b FROM cols),
+own AS (SELECT *, min(p) FILTER (r <> '-') OVER w AS p0, max(p) FILTER (r <> '-') OVER w AS p1 FROM plus WINDOW w AS (PARTITION BY read_id, hit_idx)),
+kept AS (SELECT read_id, hit_idx, p, p0, r, b, CASE WHEN r = '-' THEN 'D' WHEN b = '-' THEN 'I' ELSE 'M' END AS k, CASE WHEN r <> '-' AND b <> '-' AND r <> b THEN 1 ELSE 0 END AS x FROM own WHERE p BETWEEN p0 AND p1),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY read_id, hit_idx, k ORDER BY p) AS run FROM kept),
+cigars AS (SELECT read_id, hit_idx, string_agg(c, '' ORDER BY p) AS cigar FROM (SELECT read_id, hit_idx, min(p) AS p, count(*) || k AS c FROM runs GROUP BY read_id, hit_idx, k, run) GROUP BY read_id, hit_idx),
+marks AS (SELECT *, sum(CASE WHEN x = 1 OR k = 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY read_id, hit_idx ORDER BY p) AS part, lag(k) OVER (PARTITION BY read_id, hit_idx ORDER BY p) AS before FROM kept),
+parts AS (SELECT read_id, hit_idx, part, count(*) FILTER (k = 'M' AND x = 0) AS same, max(CASE WHEN x = 1 THEN b WHEN k = 'D' AND before = 'D' THEN b WHEN k = 'D' THEN '^' || b END) AS mark, bool_or(k = 'D' AND before = 'D') AS joined,
+  max(part) OVER (PARTITION BY read_id, hit_idx) AS last FROM marks GROUP BY read_id, hit_idx, part),
+flow AS (SELECT *, coalesce(lead(joined) OVER (PARTITION BY read_id, hit_idx ORDER BY part), false) AS hush FROM parts),
+mds AS (SELECT read_id, hit_idx, CASE WHEN min(part) > 0 THEN '0' ELSE '' END || string_agg(coalesce(mark, '') || CASE WHEN part = last THEN CASE WHEN same > 0 OR mark IS NOT NULL OR part = 0 THEN CAST(same AS VARCHAR) ELSE '' END WHEN hush THEN '' ELSE CAST(same AS VARCHAR) END, '' ORDER BY part) AS md FROM flow GROUP BY read_id, hit_idx),
+nms AS (SELECT read_id, hit_idx, CAST(min(p0) - 1 AS INTEGER) AS add, CAST(sum(CASE WHEN k <> 'M' THEN 1 ELSE x END) AS INTEGER) AS nm FROM kept GROUP BY read_id, hit_idx)"""
+EDITS_SQL = f"""{DIAGONALS_SQL},
+w AS (SELECT d.read_id, d.strand, d.chrom_idx, d.diagonal, length(r.seq) AS len, substr(CASE WHEN d.strand = '+' THEN r.seq ELSE reverse(translate(r.seq, 'ACGT', 'TGCA')) END, 1, 64) AS read, greatest(d.diagonal, 0) AS window_start,
+             least(d.diagonal + length(r.seq) + 10, g.seq_len) AS stop, g.seq FROM diagonals d JOIN reads r USING (read_id) JOIN genome g ON g.chrom_idx = d.chrom_idx),
+cut AS (SELECT *, substr(seq, window_start + 1, greatest(stop - window_start, 0)) AS win FROM w),
+near AS MATERIALIZED (SELECT *, least(length(read), levenshtein(read, substr(win, 1, length(read))), levenshtein(read, substr(win, 1 + greatest(diagonal, 0) - window_start, length(read)))) AS bound FROM cut),
+pieces AS (SELECT DISTINCT read, win, bound, s, unnest(range(greatest(1, length(read) - bound), least(length(read) + bound, length(win) - s) + 1)) AS size FROM (SELECT DISTINCT read, win, bound, unnest(range(0, length(win))) AS s FROM near)),
+scores AS (SELECT read, win, s, min(levenshtein(read, substr(win, CAST(s + 1 AS BIGINT), CAST(size AS BIGINT)))) AS e FROM pieces GROUP BY ALL),
+best AS MATERIALIZED (SELECT read, win, min(e) AS e, max(s) FILTER (e = low) AS s FROM (SELECT *, min(e) OVER (PARTITION BY read, win) AS low FROM scores) GROUP BY read, win),
+checked AS (SELECT read_id, strand, chrom_idx, diagonal, len, CAST(CASE WHEN e < length(near.read) THEN e ELSE length(near.read) END AS INTEGER) AS error, CAST(window_start + CASE WHEN e < length(near.read) THEN s ELSE length(near.win) END AS BIGINT) AS start
+  FROM near LEFT JOIN best ON best.read = near.read AND best.win = near.win)"""
+
 ORACLE_SQL = {
+    "longest_read_length": f"WITH {READS_SQL} SELECT CAST(max(length(seq)) AS INTEGER) AS longest FROM reads",
+    "reversed_qualities": f"WITH {READS_SQL} SELECT read_id, CASE WHEN read_id % 3 = 0 THEN '*' ELSE reverse(translate(seq, 'ACGT', '!5?I')) END AS qual FROM reads",
+    "cigar_md_nm": f"WITH {PATHS_SQL} SELECT read_id, hit_idx, add, cigar, md, nm FROM nms JOIN cigars USING (read_id, hit_idx) JOIN mds USING (read_id, hit_idx)",
+    "verify_edit_distance": f"WITH {EDITS_SQL} SELECT read_id, strand, chrom_idx, diagonal, error, start FROM checked",
+    "top10_hits": f"""WITH {EDITS_SQL}, places AS (SELECT read_id, strand, chrom_idx, start, CAST(min(error) AS INTEGER) AS error, CAST(any_value(len) AS INTEGER) AS len FROM checked WHERE error < 15 GROUP BY read_id, strand, chrom_idx, start),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY read_id ORDER BY error, chrom_idx, start, strand) AS INTEGER) AS rank FROM places)
+SELECT read_id, strand, chrom_idx, start, error, len, rank FROM r WHERE rank <= 10""",
+    "fasta_roundtrip": f"WITH {GENOME_SQL} SELECT chrom, seq, CAST(seq_len AS INTEGER) AS seq_len FROM genome",
+    "reads_roundtrip": f"WITH {READS_SQL} SELECT 'fastq' AS kind, name, seq, translate(seq, 'ACGT', '!@>I') AS qual FROM reads UNION ALL SELECT 'fasta', name, seq, '*' FROM reads",
+    "bed_roundtrip": f"""WITH {GENOME_SQL} SELECT chrom, chrom_idx % 7 AS start, chrom_idx % 7 + seq_len AS stop, CASE WHEN chrom_idx % 5 > 2 AND chrom_idx % 2 = 1 THEN '-' ELSE '+' END AS strand FROM genome WHERE chrom_idx % 5 <> 0""",
+    "sam_roundtrip": f"""WITH {SAM_SQL},
+f AS (SELECT line, str_split(line, chr(9)) AS f FROM lines)
+SELECT '@' AS name, '@HD' || chr(9) || 'VN:1.3' || chr(9) || 'SO:coordinate' AS fields
+UNION ALL SELECT '@', '@SQ' || chr(9) || 'SN:' || chrom || chr(9) || 'LN:' || seq_len FROM genome
+UNION ALL SELECT f[1], concat_ws('|', f[2], f[3], f[4], f[5], f[6], f[10], f[11], CASE WHEN len(f) >= 12 THEN replace(f[12], 'NM:i:', '') ELSE '-' END, CASE WHEN len(f) >= 13 THEN replace(f[13], 'XA:Z:', '') ELSE '-' END) FROM f""",
+    "output_names": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'out/' ELSE '' END || 'aln.' || CASE WHEN doc_id % 3 = 0 THEN 'run' || doc_id || '.' ELSE '' END
+  || CASE WHEN doc_id % 2 = 0 THEN 'DCODE' || lpad(printf('%X', ((((doc_id % 256) * 256 + (doc_id + 1) % 256) * 256 + (doc_id + 2) % 256) * 256 + (doc_id + 3) % 256) * 256 + (doc_id + 4) % 256), 16, '0') || '.' ELSE '' END || 'sam' AS file FROM documents WHERE doc_id IS NOT NULL""",
     "base_composition": f"WITH {GENOME_SQL} SELECT base, CAST(sum(length(seq) - length(replace(seq, base, ''))) AS BIGINT) AS n FROM genome, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY base",
     "encoded_bases": """SELECT item_id, translate(d, 'ACGTNacgt', '012340123') AS codes, translate(u, 'ACGTUNacgtu', '01233401233') AS rna_codes, translate(translate(d, 'acgt', 'ACGT'), 'ACGTN', 'ACGTN') AS letters
 FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '[^ACGTacgt]', 'N', 'g') AS d, regexp_replace(coalesce(text, ''), '[^ACGTUacgtu]', 'N', 'g') AS u FROM benchmark)""",

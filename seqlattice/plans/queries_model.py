@@ -9,11 +9,11 @@ from ..functions.scores import mapq, sam_flag, temperature
 from ..operators import alignments, em, loci, posterior, random_model, seeding
 from ..sources.fixtures import genome, reads
 from . import realign
-from .queries_align import LOCI_SQL, exact_hits
+from .queries_align import LOCI_SQL, exact_hits, longest_read
 
 
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loci.with_weights(loci.locus_sequences(genome(spark, sf_dir), exact_hits(spark, sf_dir)))
+    return loci.with_weights(loci.locus_sequences(genome(spark, sf_dir), exact_hits(spark, sf_dir), longest=longest_read(spark, sf_dir)))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,11 @@ EACH = 4  # simulated reads for each chromosome on average
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chromosome as a region, strands in turn."""
-    return genome(spark, sf_dir).select("chrom_idx", "chrom", "seq", F.lit(0).cast("long").alias("start"), F.col("seq_len").cast("long").alias("stop"), F.when(F.col("chrom_idx") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return genome(spark, sf_dir).select("chrom_idx", "chrom", F.lit(0).cast("long").alias("start"), F.col("seq_len").cast("long").alias("stop"), F.when(F.col("chrom_idx") % 2 == 0, "+").otherwise("-").alias("strand"))
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.draw(_regions(spark, sf_dir).withColumn("n", F.lit(EACH).cast("long")))
+    return simulate.draw(_regions(spark, sf_dir).withColumn("n", F.lit(EACH).cast("long")), genome=genome(spark, sf_dir))
 
 
 def sim_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:

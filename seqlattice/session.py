@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -20,13 +21,30 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, to cut lineage between iterations.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores where its files make fewer partitions than that; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def clear() -> None:
+    """Deletes what this driver stored; call it once results are kept elsewhere. It also runs when the driver ends."""
+    for path, spark in list(_written.items()):
+        if not spark._jsc.sc().isStopped():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            del _written[path]
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, deleted by clear().
 
     The folder is the cluster's spark.checkpoint.dir; only on a local master
     without one is it a fresh local folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
@@ -35,5 +53,20 @@ def stored(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clear)
+    _written[path] = spark
+    return path
+
+
+def stored(df: DataFrame, deal: bool = False) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, to cut lineage between iterations.
+
+    With ``deal``, a table so small that it lies in fewer files than there are
+    cores is dealt over all of them, for heavy work on each row.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return stored(spread(out)) if deal and out.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else out

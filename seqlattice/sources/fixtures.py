@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 
-def _bases(text: str):
-    return F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^ACGTacgt]", ""))
+
+def _bases(text: str, least: int):
+    """The upper-cased bases of a text as an array of one, or of none if there are fewer than ``least``; exploding it evaluates the text once."""
+    seq = F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^ACGTacgt]+", ""))
+    return F.filter(F.array(seq), lambda s: F.length(s) >= least)
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chrom_idx, chrom, seq, seq_len of the chromosomes of 32 bases or more."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chrom_idx"), _bases("text").alias("seq"))
-    return docs.where(F.length("seq") >= 32).select("chrom_idx", F.concat(F.lit("doc"), F.col("chrom_idx").cast("string")).alias("chrom"), "seq", F.length("seq").alias("seq_len"))
+    """chrom_idx, chrom, seq, seq_len of the documents that hold 32 bases or more; shorter ones are no chromosomes."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chrom_idx"), "text"))
+    rows = docs.select("chrom_idx", F.explode(_bases("text", 32)).alias("seq"))
+    return rows.select("chrom_idx", F.concat(F.lit("doc"), F.col("chrom_idx").cast("string")).alias("chrom"), "seq", F.length("seq").alias("seq_len"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """read_id, name, seq, qual of the reads of 15 bases or more."""
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("read_id"), _bases("text").alias("seq"))
-    return rows.where(F.length("seq") >= 15).select("read_id", F.concat(F.lit("READ"), F.col("read_id").cast("string")).alias("name"), "seq", F.lit("*").alias("qual"))
+    """read_id, name, seq, qual of the benchmark passages that hold 15 bases or more; shorter ones are no reads."""
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("read_id"), F.explode(_bases("text", 15)).alias("seq"))
+    return rows.select("read_id", F.concat(F.lit("READ"), F.col("read_id").cast("string")).alias("name"), "seq", F.lit("*").alias("qual"))
 
 
 GENOME_SQL = """genome AS (SELECT doc_id AS chrom_idx, 'doc' || doc_id AS chrom, seq, length(seq) AS seq_len

@@ -83,26 +83,116 @@ def test_ties_of_three_go_by_digest_those_of_two_to_the_first(spark):
     assert (got[0].hit_idx, got[0].ties, got[1].hit_idx, got[1].ties, got[2].aligned) == (want, 3, 0, 2, False)
 
 
+def drawn_reads(chromosomes, count, errors, seed=8, length=30, edge=5):
+    """Reads from both strands as (seq, chromosome, start, strand, whether perfect)."""
+    rnd, out = random.Random(seed), []
+    for _ in range(count):
+        c, strand = rnd.randrange(len(chromosomes)), rnd.choice("+-")
+        at = rnd.randrange(edge, len(chromosomes[c]) - length - edge)
+        seq = "".join(rnd.choice("ACGT") if rnd.random() < errors else x for x in chromosomes[c][at : at + length])
+        perfect = seq == chromosomes[c][at : at + length]
+        out.append((seq if strand == "+" else seq[::-1].translate(str.maketrans("ACGT", "TGCA")), c, at, strand, perfect))
+    return out
+
+
 def test_realignment_places_reads_and_its_likelihood_rises(spark):
     rnd = random.Random(8)
-    seq = "".join(rnd.choices("ACGT", k=400))
-    reads = [seq[i : i + 30] for i in range(20, 320, 30)]
-    g, r = frames(spark, [seq, "".join(rnd.choices("ACGT", k=400))], reads)
-    hits = loci.hits_of(seeding.search(g, r))
-    gathered = realign.prepare(g, r, hits)
-    _, fits = em.sequence_em(gathered, 3, 1e-3)
-    assert all(b >= a - 1e-6 for a, b in zip(fits[3:-1], fits[4:], strict=True))
-    model, _ = em.sequence_em(gathered, 3, 1e-3)
-    scored = posterior.posteriors(em.score_hits(spark, gathered, model, paths=True))
-    lines = [x.line.split("\t") for x in realign.records(scored, g, r).collect()]
-    assert {l[0] for l in lines} == {f"r{i}" for i in range(len(reads))}
-    for l in lines:
-        assert l[2] == "chr_0" and int(l[3]) == 21 + 30 * int(l[0][1:])
-        assert sum(int(x) for x in re.findall(r"(\d+)[MI]", l[5])) == 30
-    done = realign.realign(spark, g, r, hits, realign.Settings(sequence_iterations=1, genome_iterations=1))["with_priors"]
-    for x in done.groupBy("read_id").agg((F.sum("posterior") + F.first("unaligned")).alias("s")).collect():
+    chromosomes = ["".join(rnd.choices("ACGT", k=3000)) for _ in range(2)]
+    truth = drawn_reads(chromosomes, 2000, 0.01)
+    g, r = frames(spark, chromosomes, [t[0] for t in truth])
+    r = r.repartition(4).withColumn("mapq", F.lit(17))
+    hits = realign.stored(loci.hits_of(seeding.search(g, r)))
+    single = {x.read_id for x in hits.where("num_hits = 1").collect()}
+    done = realign.realign(spark, g, r, hits)
+    fits = [x.log_likelihood for x in done["fit"].orderBy("step").collect()]
+    assert len(fits) == 10 and all(b > a for a, b in [*zip(fits[:4], fits[1:5], strict=True), *zip(fits[5:9], fits[6:], strict=True)])
+    for x in done["with_priors"].groupBy("read_id").agg((F.sum("posterior") + F.first("unaligned")).alias("s")).collect():
         assert abs(x.s - 1) < 1e-9
-    assert realign.records(done, g, r).count() == len(reads)
+    lines = {int(x.line.split("\t")[0][1:]): x.line.split("\t") for x in realign.records(done["with_priors"], g, r).collect()}
+    assert len(lines) == 2000
+    aligned = [i for i, x in lines.items() if x[2] != "*"]
+    print("share aligned:", len(aligned) / 2000)
+    assert len(aligned) >= 0.95 * 2000
+    for i, (seq, c, at, strand, perfect) in enumerate(truth):
+        if perfect:
+            x = lines[i]
+            assert (x[1], x[2], int(x[3]), x[5]) == ("0" if strand == "+" else "16", f"chr_{c}", at + 1, "30M")
+            assert x[9] == chromosomes[c][at : at + 30] and x[11:] == ["NM:i:0", "MD:Z:30"]
+            assert int(x[4]) <= 17 if i in single else int(x[4]) <= 40  # held to the input's quality where there is one hit only
+
+
+def test_training_is_bounded_by_a_hash_of_the_reads(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "read_id")
+    assert em.training_sample(df, 20_000) is df
+    some = em.training_sample(df, 5_000)
+    assert 4_500 < some.count() < 5_500 and {r.read_id for r in some.collect()} == {r.read_id for r in em.training_sample(df.repartition(7), 5_000).collect()}
+    with pytest.raises(ValueError):
+        realign.Settings(training_reads=0)
+
+
+def test_short_reads_and_loci_are_told(spark):
+    reads = spark.createDataFrame([(1, "A" * 10), (2, "A" * 11)], "read_id long, seq string")
+    located = spark.createDataFrame([(2, 0, "C" * 11), (2, 1, "C" * 7)], "read_id long, hit_idx int, locus string")
+    assert sorted((r.read_id, r.hit_idx, r.length, r.reason.split()[0]) for r in em.rejected(located, reads).collect()) == [(1, None, 10, "read"), (2, 1, 7, "locus")]
+
+
+def test_programs_go_from_files_to_files(spark, tmp_path):
+    rnd = random.Random(18)
+    chromosomes = ["".join(rnd.choices("ACGT", k=2500)) for _ in range(2)]
+    truth = drawn_reads(chromosomes, 1500, 0.02, seed=3)
+    (tmp_path / "g.fa").write_text("".join(f">chr_{i} x\n" + "\n".join(s[j : j + 60] for j in range(0, len(s), 60)) + "\n" for i, s in enumerate(chromosomes)))
+    name = lambda i: f"ORG{i}_chr_{truth[i][1]}_{truth[i][2]}_{truth[i][2] + 30}_{truth[i][3]}_0"
+    (tmp_path / "r.fq").write_text("".join(f"@{name(i)}\n{t[0]}\n+\n{'I' * 29}{'#'}\n" for i, t in enumerate(truth)))
+    paths = [str(tmp_path / x) for x in ("g.fa", "r.fq", "seeds.sam", "out.sam", "tsv")]
+    realign.search_files(spark, *paths[:3])
+    found = spark.read.text(paths[2]).collect()
+    assert [x.value.split("\t")[0] for x in found[:4]] == ["@HD", "@SQ", "@SQ", "@PG"] and len(found) == 1504
+    realign.realign_files(spark, paths[0], paths[2], paths[3])
+    entries = formats.read_sam(spark, paths[3]).collect()
+    assert len(entries) == 1500 and sum(e.flag & 4 == 0 for e in entries) > 1400
+    for e in entries:
+        t = truth[int(e.name[3 : e.name.index("_")])]
+        if e.flag & 4 == 0 and t[4]:
+            assert (e.chrom, e.pos, e.cigar) == (f"chr_{t[1]}", t[2] + 1, "30M")
+            assert e.qual == ("I" * 29 + "#" if t[3] == "+" else "#" + "I" * 29)
+    judged = realign.evaluate_files(spark, paths[3], paths[4])
+    total = judged["summary"].first()
+    assert total.total == 1500 and total.percent_mapped > 93 and total.percent_wrong < 1
+    buckets = judged["buckets"].orderBy("bucket").collect()
+    assert [b.quality for b in buckets] == [0, 10, 20, 30, 40, 50] and sum(b.correct + b.wrong for b in buckets) == total.mapped
+    assert judged["above"].first().correct <= total.mapped
+    assert spark.read.option("header", True).option("sep", "\t").csv(paths[4]).count() == 1
+
+
+def test_reads_of_several_splits_keep_their_records(spark, tmp_path):
+    rows = [(f"r{i}", "ACGT" * (1 + i % 9), "@" * 4 * (1 + i % 9)) for i in range(3000)]
+    (tmp_path / "r.fq").write_text("".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in rows))
+    (tmp_path / "r.fa").write_text("".join(f">{n}\n{s}\n" + ("TTTT\n" if i % 2 else "") for i, (n, s, _) in enumerate(rows * 3)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert [tuple(r) for r in formats.read_reads(spark, str(tmp_path / "r.fq")).collect()] == rows
+        assert [tuple(r) for r in formats.read_reads(spark, str(tmp_path / "r.fa")).collect()] == [(n, s, "*") for n, s, _ in rows * 3]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_places_in_tiles_are_those_of_the_whole(spark):
+    from seqlattice.operators import tiles
+
+    rnd = random.Random(1)
+    seqs = ["".join(rnd.choices("ACGT", k=n)) for n in (5000, 1024, 1025, 40)]
+    g, _ = frames(spark, seqs, [])
+    spots = [(c, rnd.randrange(len(s)), i) for c, s in enumerate(seqs) for i in range(40)] + [(9, 3, 0), (3, 5000, 1)]
+    places = spark.createDataFrame(spots, "chrom_idx long, start int, i int")
+    for longest in (1, 50, 1024, 3000):
+        got = {(r.chrom_idx, r.start, r.i): r.part for r in tiles.look_up(places, g, "start", longest).collect()}
+        assert len(got) == 160
+        assert all(seqs[c][at:].startswith(p) and len(p) >= min(longest, len(seqs[c]) - at) for (c, at, _), p in got.items())
+    hits = spark.createDataFrame([(1, 0, 0, 10, 90, "+")], "read_id long, hit_idx int, chrom_idx long, start long, stop long, strand string")
+    assert loci.locus_sequences(g, hits).first().locus == seqs[0][5:95]
+    with pytest.raises(Exception, match="longer"):
+        loci.locus_sequences(g, hits, longest=20).collect()
 
 
 def test_closed_loop_searches_every_drawn_read(spark, small, monkeypatch):
