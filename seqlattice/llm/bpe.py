@@ -26,6 +26,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_SIZE = 400_000  # pre-tokens, and those of one piece of a text
 LONG = 200  # characters; longer pre-tokens aren't kept
@@ -85,7 +87,12 @@ def serialise_model(ranks: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes with one model; lives as long as its Python worker uses it."""
+    """Encodes and decodes with one model; lives as long as its Python worker uses it.
+
+    A pre-token that is a piece of the vocabulary has that one id, as the
+    tiktoken library gives it even where merges would end elsewhere; all other
+    pre-tokens are merged by sentencepiece.
+    """
 
     def __init__(self, ranks: list[bytes], model: bytes, pattern: str):
         self.pieces = ranks
@@ -182,6 +189,6 @@ def encode_texts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     done = encode_texts(spark, docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ids=False)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

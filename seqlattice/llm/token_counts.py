@@ -23,6 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .bpe import read_ranks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -274,5 +275,5 @@ def standard_edits(text):
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("edits", standard_edits(F.col("text")))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumn("edits", standard_edits(F.col("text")))
     return count_edits(spark, docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=True).drop("text", "edits", "edited_text")

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
@@ -711,6 +712,20 @@ def test_automaton_matches_regular_expressions():
             assert got[i, k] == bool(re.fullmatch(to(g), t, re.S)), (g, t)
 
 
+def test_hundreds_of_globs_judge_urls_together(spark):
+    rnd = random.Random(14)
+    part = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    globs = tuple(url_filter.Glob(rnd.choice(["block", "allow"]), rnd.choice(["*.{}.{}/**", "*{}*/{}/**", "*/{}?{}*", "*.{}{}"]).format(part(2), part(2))) for _ in range(400))
+    assert url_filter.Automaton([g.glob for g in globs]).words > 10
+    urls = [f"http://{part(rnd.randint(1, 3))}.{part(2)}.{part(2)}/{part(rnd.randint(0, 4))}/{part(rnd.randint(0, 5))}" for _ in range(2000)]
+    to = lambda g: re.compile("".join({"**": ".*", "*": "[^/]*", "?": "."}.get(x, re.escape(x)) for x in re.findall(r"\*\*|.", g)), re.S)
+    made = [(g.verdict, to(g.glob)) for g in globs]
+    want = {i: next((v for v, g in made if g.fullmatch("." + u.removeprefix("http://"))), "allow") for i, u in enumerate(urls)}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules=(), globs=globs).collect()}
+    assert got == want and sum(g.fullmatch("." + u.removeprefix("http://")) is not None for u in urls[:200] for _, g in made) > 20
+
+
 # 10 byte-level BPE
 
 
@@ -727,6 +742,20 @@ def test_codes_are_tiktokens_and_decode_to_the_text():
         assert c.decode(ids) == t.encode()
 
 
+def test_pieces_of_the_vocabulary_need_no_merges_and_the_rest_is_merged(spark, small):
+    """Pre-tokens that are pieces themselves are looked up; sentencepiece gets all others, and would give most of the former the same id."""
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    codec = bpe.Codec(ranks, bpe.serialise_model(ranks), public_tokenizers.PATTERN)
+    texts = [r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    parts = {p for t in texts for p in codec.split(t)}
+    merged = [p for p in parts if p.encode() not in codec.whole]
+    print("share of distinct pre-tokens merged:", len(merged) / len(parts))
+    assert len(merged) > 0.05 * len(parts)
+    reference = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(ranks)}, special_tokens={})
+    for p in merged[:500]:
+        assert np.frombuffer(codec.encode_parts([p]), "<u4").tolist() == reference.encode_ordinary(p)
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_SIZE", 10)
     c, rnd = codec(bpe.VOCABULARY), random.Random(15)
