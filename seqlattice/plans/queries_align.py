@@ -147,12 +147,13 @@ def reversed_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("read_id", bases.reverse_qualities(qual).alias("qual"))
 
 
-def _pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paths_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment paths made from hits as SQL can follow them: the read laid against its locus base by base.
 
     Flanks face outer gaps; by hit, one base is now inserted, now deleted, at a place that follows from the ids.
     """
     h = locus_rows(spark, sf_dir).join(reads(spark, sf_dir).select("read_id", F.col("seq").alias("own")), "read_id")
+    h = h.withColumn("locus", F.explode(F.array("locus")))  # worked out once, not for each base
     n, m = F.length("own"), F.length("locus")
     lead = F.when(F.col("strand") == "-", F.col("locus_stop") - F.col("stop")).otherwise(F.col("start") - F.col("locus_start")).cast("int")
     kind, at = (F.col("read_id") + F.col("hit_idx")) % 3, ((F.col("read_id") * 7 + F.col("hit_idx")) % 9 + 3).cast("int")
@@ -179,7 +180,7 @@ def locus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cigar_md_nm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths rendered as they lie on the genome's plus strand."""
     path = F.when(F.col("strand") == "-", alignments.reverse_path(F.col("path"))).otherwise(F.col("path"))
-    return _pairing(spark, sf_dir).select("read_id", "hit_idx", alignments.rendered(path).alias("r")).select("read_id", "hit_idx", "r.*")
+    return paths_of_hits(spark, sf_dir).select("read_id", "hit_idx", alignments.rendered(path).alias("r")).select("read_id", "hit_idx", "r.*")
 
 
 def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

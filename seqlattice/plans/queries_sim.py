@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import error_rate
 from ..operators import evaluate, loci, posterior, seeding, simulate
+from ..session import scratch_path
 from ..sources.fixtures import GENOME_SQL, genome
-from ..sources.formats import parse_truth
+from ..sources.formats import parse_truth, with_dcode
 from . import realign
 
 EACH = 4  # simulated reads for each chromosome on average
@@ -29,9 +30,9 @@ def sim_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sim_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = genome(spark, sf_dir).select("chrom_idx", F.least("seq_len", F.lit(40)).alias("len"))
+    rows = genome(spark, sf_dir).select("chrom_idx", F.col("seq_len").alias("len"))
     at = rows.select("chrom_idx", "len", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("j"))
-    return at.select("chrom_idx", "j", F.round(error_rate(F.col("j"), F.col("len"), 0.02, 0.03), 8).alias("rate"))
+    return at.select("chrom_idx", "j", F.round(error_rate(F.col("j"), F.col("len"), 0.02, 0.03), 12).alias("rate"))
 
 
 def sim_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,24 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(_placed(spark, sf_dir))
 
 
+def eval_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.by_bucket(_placed(spark, sf_dir))
+
+
+def eval_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.mapped_above(_placed(spark, sf_dir))
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide row under a file name that carries the settings, appended twice to a folder of tab-separated files and read again."""
+    file = "aln.DCODE0000000805050A0A.sam"
+    label = with_dcode(spark.range(1).select(F.lit(file).alias("file")), "file")
+    row, path = evaluate.report(_placed(spark, sf_dir), label), scratch_path(spark)
+    for _ in range(2):
+        evaluate.append_report(row, path)
+    return spark.read.option("header", True).option("sep", "\t").schema(row.schema).csv(path)
+
+
 def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulate, search, re-align and evaluate: the accuracy of best hits by quality."""
     g = genome(spark, sf_dir)
@@ -98,20 +117,28 @@ JUDGED_SQL = f"""{MUTATED_SQL},
 placed AS (SELECT *, CASE WHEN read_id % 11 = 0 THEN NULL WHEN read_id % 17 = 0 THEN 'doc_x' ELSE chrom END AS chrom2, read_id % 13 - 6 AS shift, CASE WHEN read_id % 19 = 0 THEN '+' ELSE strand END AS strand2, (read_id * 7) % 70 AS mapq FROM named),
 judged AS (SELECT CAST(least(mapq // 10, 5) AS INTEGER) AS q, least(errors, 5) AS e, chrom2 IS NOT NULL AS mapped, CASE WHEN chrom2 IS NOT NULL THEN chrom2 = chrom AND strand2 = strand AND abs(shift) < 5 END AS correct FROM placed)"""
 
-QUERIES = {f.__name__: f for f in (sim_abundance, sim_error_rate, sim_reads, truth_parse, eval_confusion, eval_by_quality, eval_summary, closed_loop)}
+QUERIES = {f.__name__: f for f in (sim_abundance, sim_error_rate, sim_reads, truth_parse, eval_confusion, eval_by_quality, eval_summary, eval_buckets, eval_above, eval_report, closed_loop)}
 
 ORACLE_SQL = {
     "sim_abundance": f"""WITH {GENOME_SQL}, r AS (SELECT chrom_idx, row_number() OVER (ORDER BY {_chance("chrom_idx")} % 1009, chrom_idx) AS rank, count(*) OVER () AS regions FROM genome),
 w AS (SELECT *, rank / pow(rank::DOUBLE, 1.2 + (rank % (regions + 1)) / regions::DOUBLE) AS weight FROM r),
 n AS (SELECT *, CAST(floor(weight / sum(weight) OVER () * 10000) AS BIGINT) AS n0 FROM w)
 SELECT chrom_idx, rank, round(weight, 6) AS weight, CAST(n0 + CASE WHEN rank <= 10000 - sum(n0) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM n""",
-    "sim_error_rate": f"""WITH {GENOME_SQL}, l AS (SELECT chrom_idx, least(seq_len, 40) AS len FROM genome)
-SELECT chrom_idx, CAST(j AS INTEGER) AS j, round(0.02::DOUBLE + (0.03::DOUBLE - 0.02::DOUBLE) / (len - 1) * (j - 1), 8) AS rate FROM (SELECT chrom_idx, len, unnest(range(1, len + 1)) AS j FROM l)""",
+    "sim_error_rate": f"""WITH {GENOME_SQL}, l AS (SELECT chrom_idx, seq_len AS len FROM genome)
+SELECT chrom_idx, CAST(j AS INTEGER) AS j, round(0.02::DOUBLE + (0.03::DOUBLE - 0.02::DOUBLE) / (len - 1) * (j - 1), 12) AS rate FROM (SELECT chrom_idx, len, unnest(range(1, len + 1)) AS j FROM l)""",
     "sim_reads": f"WITH {MUTATED_SQL} SELECT read_id, name, seq, errors FROM named",
     "truth_parse": f"WITH {MUTATED_SQL} SELECT read_id, read_id AS n, chrom, start, stop, strand, errors FROM named",
     "eval_confusion": f"WITH {JUDGED_SQL} SELECT q, e, correct, count(*) AS n FROM judged WHERE mapped GROUP BY ALL",
     "eval_by_quality": f"""WITH {JUDGED_SQL}, s AS (SELECT q, count(*) FILTER (correct) AS n_correct, count(*) FILTER (NOT correct) AS n_wrong FROM judged WHERE mapped GROUP BY q)
 SELECT q, n_correct, n_wrong, CAST(CASE WHEN n_wrong = 0 THEN 100 ELSE floor(-10 * log10(n_wrong / (n_correct + n_wrong)::DOUBLE)) END AS INTEGER) AS empirical FROM s""",
+    "eval_buckets": f"""WITH {JUDGED_SQL}, s AS (SELECT q, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct) AS wrong, {", ".join(f"count(*) FILTER (e = {i}) AS errors_{i}" for i in range(6))} FROM judged WHERE mapped GROUP BY q),
+b AS (SELECT CAST(range AS INTEGER) AS bucket, * FROM range(6) LEFT JOIN s ON s.q = range)
+SELECT bucket, CAST(bucket * 10 AS INTEGER) AS quality, coalesce(correct, 0) AS correct, coalesce(wrong, 0) AS wrong, CAST(CASE WHEN coalesce(wrong, 0) = 0 THEN 100 ELSE floor(-10 * log10(wrong / (correct + wrong)::DOUBLE)) END AS INTEGER) AS estimate, {", ".join(f"coalesce(errors_{i}, 0) AS errors_{i}" for i in range(6))} FROM b""",
+    "eval_above": f"""WITH {JUDGED_SQL}, s AS (SELECT count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct) AS wrong FROM judged WHERE mapped AND q >= 1)
+SELECT correct, wrong, round(1e4::DOUBLE * wrong / correct) / 100 AS percent_wrong FROM s""",
+    "eval_report": f"""WITH {JUDGED_SQL} SELECT 'aln.DCODE0000000805050A0A.sam' AS file, 8 AS threads, 5 AS siter, 5 AS giter, 10 AS spseudo, 10 AS gpseudo,
+{", ".join(f"count(*) FILTER (mapped AND q = {i} AND correct) AS correct_Q{i}, count(*) FILTER (mapped AND q = {i} AND NOT correct) AS wrong_Q{i}" for i in range(6))},
+{", ".join(f"count(*) FILTER (mapped AND q = {i} AND e = {j}) AS Q{i}_E{j}" for i in range(6) for j in range(6))} FROM judged, range(2) GROUP BY range""",
     "eval_summary": f"""WITH {JUDGED_SQL}, s AS (SELECT count(*) AS total, count(*) FILTER (mapped) AS mapped, count(*) FILTER (mapped AND NOT correct) AS wrong FROM judged)
 SELECT total, mapped, total - mapped AS unmapped, round(100.0::DOUBLE * mapped / total) AS percent_mapped, round(1e4::DOUBLE * wrong / total) / 100 AS percent_wrong FROM s""",
 }

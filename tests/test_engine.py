@@ -121,6 +121,21 @@ def test_realignment_places_reads_and_its_likelihood_rises(spark):
             assert int(x[4]) <= 17 if i in single else int(x[4]) <= 40  # held to the input's quality where there is one hit only
 
 
+def test_most_reads_of_the_given_tables_are_realigned_where_they_fit(spark):
+    folder = "/root/testdata/sf0.01"
+    genome = {r.chrom: r.seq for r in queries_model.genome(spark, folder).collect()}
+    lines = [r.line.split("\t") for r in queries_model.realigned_sam(spark, folder).collect()]
+    reads = queries_model.training_reads(spark, folder)
+    assert len(lines) == reads.count() > 1500
+    exact = [x for x in lines if x[0].startswith("DOC")]
+    aligned = [x for x in exact if x[2] != "*"]
+    print("share aligned:", len(aligned) / len(exact))
+    assert len(aligned) > 0.8 * len(exact)
+    whole = [x for x in aligned if x[5] == "30M" and x[11] == "NM:i:0"]
+    assert len(whole) > 0.9 * len(aligned)
+    assert all(genome[x[2]][int(x[3]) - 1 : int(x[3]) + 29] == x[9] and x[12] == "MD:Z:30" for x in whole)
+
+
 def test_training_is_bounded_by_a_hash_of_the_reads(spark):
     df = spark.range(20_000).withColumnRenamed("id", "read_id")
     assert em.training_sample(df, 20_000) is df
