@@ -110,11 +110,10 @@ def branch_again(members: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Union-find over 0 to n-1; links() are the unions that joined two trees."""
+    """Union-find over 0 to n-1; a tree's root is its smallest number."""
 
     def __init__(self, n: int):
         self.parent = list(range(n))
-        self.links: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -125,7 +124,10 @@ class Forest:
         x, y = self.find(a), self.find(b)
         if x != y:
             self.parent[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+
+    def links(self) -> list[tuple[int, int]]:
+        """Each tree's root with every other member: as few links as possible, and one for each member."""
+        return [(self.find(x), x) for x in range(len(self.parent)) if self.parent[x] != x]
 
 
 def compare_leaves(members: DataFrame, least: int) -> DataFrame:
@@ -145,13 +147,13 @@ def compare_leaves(members: DataFrame, least: int) -> DataFrame:
                 for i in range(to - at - 1):
                     for j in np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= least) + i + 1:
                         forest.join(i, int(j))
-                if forest.links:
-                    pairs = np.array(forest.links) + at
+                if found := forest.links():
+                    pairs = np.array(found) + at
                     a.append(rep[pairs[:, 0]])
                     b.append(rep[pairs[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return members.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return members.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "a long, b long")
 
 
 def _alike(common, p, q, percent: int):
@@ -201,7 +203,7 @@ def exact_links(sets: list[np.ndarray], percent: int, asked: np.ndarray | None =
         for a, b in zip(rest[i].tolist(), j.tolist(), strict=True):
             if a != b:
                 forest.join(a, b)
-    return forest.links
+    return forest.links()
 
 
 def with_sets(members: DataFrame, k: int) -> DataFrame:
@@ -249,7 +251,7 @@ def verify(cells: DataFrame, percent: int) -> DataFrame:
             a, b = rep[pairs[:, 0]], rep[pairs[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return cells.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "a long, b long")
 
 
 def links_in_clusters(scratch: Scratch, members: DataFrame, percent: int) -> DataFrame:
