@@ -1,13 +1,16 @@
-"""What Python workers need to know of the driver."""
+"""What Python workers need to know of the driver, and tables kept in the shared folder between jobs."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,10 +36,19 @@ _written: dict[str, SparkSession] = {}
 def clear() -> None:
     """Deletes what this driver stored; call it once results are kept elsewhere. It also runs when the driver ends."""
     for path, spark in list(_written.items()):
-        if not spark._jsc.sc().isStopped():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            del _written[path]
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _written[path]
+
+
+def at_exit(clear: Callable[[], None]) -> None:
+    """Runs ``clear`` when the driver ends, unless the JVM has gone before."""
+
+    def run() -> None:
+        with contextlib.suppress(Py4JError, OSError):
+            clear()
+
+    atexit.register(run)
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -54,7 +66,7 @@ def scratch_path(spark: SparkSession) -> str:
         root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(clear)
+        at_exit(clear)
     _written[path] = spark
     return path
 
