@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import at_exit
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a fresh local one only where none is set on a local master."""
@@ -34,8 +35,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 def clear() -> None:
     """Deletes all scratch tables of this driver; call it once results are stored. It also runs when the driver ends."""
     for root, spark in list(_open.items()):
-        if spark._jsc.sc().isStopped():
-            continue
         _delete(spark, root)
         del _open[root]
 
@@ -51,7 +50,7 @@ class Scratch:
         self.root = f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
         if not _open:
-            atexit.register(clear)
+            at_exit(clear)
         _open[self.root] = spark
 
     def write(self, df: DataFrame) -> DataFrame:
