@@ -199,10 +199,10 @@ ORACLE_SQL = {
 short AS (SELECT read_id, hit_idx, greatest(least(stop - 5, length(chrom_seq)) - greatest(start + 5, 0), 0) AS n FROM cut)
 SELECT read_id, CAST(NULL AS INTEGER) AS hit_idx, CAST(n AS INTEGER) AS length, 'read of fewer than 11 bases' AS reason FROM own WHERE n BETWEEN 1 AND 10
 UNION ALL SELECT read_id, CAST(hit_idx AS INTEGER), CAST(n AS INTEGER), 'locus of fewer than 11 bases' FROM short WHERE n < 11""",
-    "training_reads_places": f"""WITH {GENOME_SQL}, {READS_SQL}, w AS (SELECT chrom_idx, seq, unnest(range(0, (seq_len - 30) // 200 + 1)) AS i FROM genome WHERE seq_len >= 30)
+    "training_reads_places": f"""WITH {GENOME_SQL}, {READS_SQL}, w AS (SELECT chrom_idx, seq, unnest(range(0, (seq_len - 50) // 200 + 1)) AS i FROM genome WHERE seq_len >= 50)
 SELECT read_id, name, seq, qual FROM reads
-UNION ALL SELECT (chrom_idx + 1) * 16777216 + i, 'DOC' || chrom_idx || '_' || i * 200 || CASE WHEN i % 2 = 1 THEN '_-' ELSE '_+' END,
-  CASE WHEN i % 2 = 1 THEN reverse(translate(substr(seq, i * 200 + 1, 30), 'ACGT', 'TGCA')) ELSE substr(seq, i * 200 + 1, 30) END, '*' FROM w""",
+UNION ALL SELECT (chrom_idx + 1) * 16777216 + i, 'DOC' || chrom_idx || '_' || (i * 200 + 10) || CASE WHEN i % 2 = 1 THEN '_-' ELSE '_+' END,
+  CASE WHEN i % 2 = 1 THEN reverse(translate(substr(seq, i * 200 + 11, 30), 'ACGT', 'TGCA')) ELSE substr(seq, i * 200 + 11, 30) END, '*' FROM w""",
     "dinuc_counts": f"WITH {PAIRS_SQL} SELECT model, code, round(count, 4) AS count FROM counts",
     "dinuc_model": f"WITH {PAIRS_SQL} SELECT model, code, round(prob, 8) AS prob FROM model",
     "random_score": f"""WITH {PAIRS_SQL}, q AS (SELECT read_id, CAST((instr('ACGT', substr(seq, CAST(i AS BIGINT), 1)) - 1) * 5 + instr('ACGT', substr(seq, CAST(i + 1 AS BIGINT), 1)) - 1 AS INTEGER) AS code FROM (SELECT read_id, seq, unnest(range(1, length(seq))) AS i FROM reads))
