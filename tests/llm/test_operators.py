@@ -723,7 +723,7 @@ def test_hundreds_of_globs_judge_urls_together(spark):
     want = {i: next((v for v, g in made if g.fullmatch("." + u.removeprefix("http://"))), "allow") for i, u in enumerate(urls)}
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules=(), globs=globs).collect()}
-    assert got == want and sum(g.fullmatch("." + u.removeprefix("http://")) is not None for u in urls[:200] for _, g in made) > 20
+    assert got == want and sum(any(g.fullmatch("." + u.removeprefix("http://")) for _, g in made) for u in urls) > 20
 
 
 # 10 byte-level BPE
