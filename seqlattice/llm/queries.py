@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, quality, secrets_scan, simhash, token_counts, topk, url_filter
+from . import bpe, codebooks, importance, line_dedup, mixing, near_dedup, quality, secrets_scan, simhash, substrings, token_counts, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_lines": line_dedup.op8_lines,
     "op9_urls": url_filter.op9_urls,
     "op10_bpe": bpe.op10_bpe,
+    "op11_importance": importance.op11_importance,
+    "op12_substrings": substrings.op12_substrings,
+    "op13_codes": codebooks.op13_codes,
 }
 ORACLE_SQL = {
     "op1_topk": topk.OP1_SQL,
     "op2_near": near_dedup.OP2_SQL,
     "op6_secrets": secrets_scan.OP6_SQL,
     "op9_urls": url_filter.OP9_SQL,
+    "op12_substrings": substrings.OP12_SQL,
+    "op13_codes": codebooks.OP13_SQL,
 }
