@@ -55,6 +55,23 @@ def test_pipeline_stages_take_empty_and_odd_rows(spark, small):
         assert stage(spark, odd, small).count() >= 3
 
 
+def test_pipeline_stages_leave_columns_of_any_name_alone(spark, small):
+    """Columns named as those that operators add, columns of maps, and tables without n_chars, source and lang."""
+    names = ["selected", "expected_grade", "removed", "n_lines", "kept", "n_tokens", "topic", "probability", "row", "gone", "unit"]
+    line = " ".join(f"w{i}" for i in range(60))
+    texts = ["one two three", f"own\n{line}", f"{line}\nother words here", None, ""]
+    rows = [(i, t, *[f"mine{i}"] * len(names), {"a": i}) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names) + ", extra map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, small)
+        assert left.columns == docs.columns and left.dtypes == docs.dtypes, name
+        for r in left.collect():
+            assert {r[n] for n in names} == {f"mine{r.doc_id}"} and r.extra == {"a": r.doc_id}, name
+    freed = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, small).collect()}
+    assert freed == {0: texts[0], 1: texts[1], 2: "other words here", 3: None, 4: ""}
+    assert corpus_pipeline.encode(spark, docs, small).count() == len(rows) + 1
+
+
 def test_near_dedup_stage_leaves_one_of_each_group(spark, small):
     base = " ".join(f"word{i}" for i in range(100))
     rows = [(9, base, "en", "a", 1), (4, base + " more", "en", "b", 1), (7, base.upper(), "en", "c", 1), (8, "quite another text of its own", "en", "a", 1), (8, "quite another text of its own", "en", "a", 1)]

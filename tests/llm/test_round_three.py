@@ -1,5 +1,6 @@
 """Importance resampling, substring dedup and vector codes against plain Python, and over odd rows."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -10,9 +11,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("seqlattice.llm")
-from seqlattice.llm import codebooks, importance, radix_sort, substrings  # noqa: E402
+from seqlattice.llm import codebooks, importance, quality, radix_sort, simhash, substrings, topk  # noqa: E402
 from seqlattice.llm.scratch import Scratch  # noqa: E402
 
 DOCS = "doc_id long, text string"
@@ -174,7 +176,7 @@ def test_codes_match_brute_force(spark, dim, spread, monkeypatch):
     sums: dict = {}
     for r in coded.collect():
         sums[r.label] = sums.get(r.label, 0) + (r.error or 0)
-    assert {(r.label, r.label_error) for r in codebooks.with_label_errors(coded).collect()} == set(sums.items())
+    assert {(r.label, r.label_error) for r in codebooks.with_label_errors(coded).collect()} == {(k, x if x < 1 << 63 else None) for k, x in sums.items()}
 
 
 def test_codes_of_few_and_no_vectors(spark):
@@ -186,3 +188,40 @@ def test_codes_of_few_and_no_vectors(spark):
     assert codebooks.digest(book, edges) == hashlib.sha256(b"").hexdigest()
     bare, _, _ = codebooks.compress(spark, spark.createDataFrame([(1, [], "a"), (2, [], "a")], df.schema))
     assert {(r.code, r.error) for r in bare.collect()} == {("00" * 8, 0)}
+
+
+def test_documents_find_their_stretch_of_ids(spark):
+    for n in (0, 1, 2, 7, 50, 600):
+        cuts = sorted(random.Random(n).sample(range(-1000, 1000), n))
+        ids = spark.range(-1100, 1100).select("id", simhash.cut_number(F.col("id"), cuts).alias("n"))
+        assert all(r.n == bisect.bisect_left(cuts, r.id) for r in ids.collect())
+
+
+def test_a_common_fingerprint_and_clashing_names(spark):
+    rows = [(i, "same words in all of them" if i % 3 else f"own text number {i}", "x", 1.0, 2) for i in range(300)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, fp string, n_near double, bucket int")
+    got = {r.doc_id: r for r in simhash.document_fingerprints(spark, docs).collect()}
+    assert len(got) == 300 and {got[i].class_id for i in range(300) if i % 3} == {1}
+
+
+def test_the_sample_of_the_classifier_is_bounded_by_features(spark):
+    rows = [(i, ("bad junk " if i % 2 else "good text ") + " ".join(f"w{i}_{j}" for j in range(50))) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1 - i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    whole, none = quality.fit(spark, docs, labels), quality.fit(spark, docs, labels, most=10)
+    some = quality.fit(spark, docs, labels, most=100 * 160)
+    assert (none.weights == 0).all() and (whole.weights != 0).any() and (some.weights != 0).any()
+    tails = quality.Model.tails(some, pa.array(["good text w", "bad junk w"]))[:, -1]
+    assert tails[0] > tails[1]
+
+
+def test_the_longest_block_is_sent_by_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rnd = np.random.default_rng(2)
+    x = np.floor(rnd.normal(size=(500, 6)) * 1000) / 256
+    got = topk.top_k(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    q = np.floor(x * 256).astype(int)
+    for i in range(0, 500, 50):
+        s = q @ q[i]
+        want = sorted(((-int(s[j]), j) for j in range(500) if j != i))[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(k + 1, j, -n) for k, (n, j) in enumerate(want)]
