@@ -54,6 +54,16 @@ def fingerprints(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
     return voted.select(*keys, fp.alias("fp"))
 
 
+def cut_number(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are smaller than ``key``: first among every so many of them, then inside one stretch, so that a row meets about twice their root."""
+    step = max(1, math.isqrt(len(cuts)))
+    longs = lambda x: F.array(*[F.lit(c) for c in x]).cast("array<bigint>")
+    stretches = F.array(*[longs(cuts[i : i + step]) for i in range(0, max(1, len(cuts)), step)])
+    smaller = lambda x: F.size(F.filter(x, lambda c: c < key))
+    whole = smaller(longs(cuts[step - 1 :: step]))  # stretches whose last cut is smaller
+    return whole * step + smaller(F.coalesce(F.get(stretches, whole), longs([])))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each document with the text of the next one by descending doc_id; the first follows the last.
 
@@ -67,8 +77,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = df.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first().q or []
     cuts = sorted(set(at))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("key")))
-    df = df.withColumn("bucket", bucket)
+    df = df.withColumn("bucket", cut_number(F.col("key"), cuts))
     heads = df.groupBy("bucket").agg(F.max("key").alias("key")).orderBy(F.desc("bucket")).collect()  # as many rows as ranges
     guests = [(heads[(i + 1) % len(heads)].key, heads[i].bucket) for i in range(len(heads))]
     guests = spark.createDataFrame(guests, "head long, host int")
@@ -142,6 +151,7 @@ def document_fingerprints(spark: SparkSession, docs: DataFrame, radius: int = RA
     own = scratch.write(voted.where("v = 0 AND NOT guest").drop("bucket", "pos", "guest", "v"))
     distinct = scratch.write(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = distinct.select(F.col("fp").alias("fp1"), "rep").join(near_fingerprints(distinct, radius).withColumnRenamed("fp", "fp2"), F.col("fp1") == F.col("fp2"), "left")
+    linked = scratch.write(linked.drop("fp2"))  # read anew, so that the join below can split the rows of a very common fingerprint
     out = own.join(linked, F.col("fp") == F.col("fp1"))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return out.select(
