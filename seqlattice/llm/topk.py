@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from .scratch import Scratch
 
 BLOCK, QUERY_BLOCK, CHUNK = 16_384, 2_048, 1_024
+TURNS = 256  # keys that the rows of the longest block are sent by, as every query block asks for it
 ROTATED = 1 << 24  # numbers in all rotations together; vectors of rarer lengths are compared unrotated
 HUGE = 1e150  # components beyond have no finite length
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -179,13 +180,13 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50,
             parts.append(pa.table({"query_id": left["vec_id"].to_numpy()[i], "vec_id": c, "score": s}))
         return parts[0] if parts else pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
 
-    def scored(asked: DataFrame) -> DataFrame:
+    def scored(asked: DataFrame, turns: int = 1) -> DataFrame:
         keys = ["dim", "part", "block"]
-        cells = asked.select(*keys).distinct()
-        sent = blocked.join(cells, ["dim", "block"])
+        cells = asked.select(*keys).distinct().withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        sent = blocked.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(turns)).cast("int")).join(cells, ["dim", "block", "turn"]).drop("turn")
         return asked.groupBy(*keys).cogroup(sent.toDF(*sent.columns).groupBy(*keys)).applyInArrow(cell, RESULT)
 
-    start = scratch.write(scored(queries.join(first, "dim").withColumn("floor", F.lit(None).cast("double"))))
+    start = scratch.write(scored(queries.join(first, "dim").withColumn("floor", F.lit(None).cast("double")), TURNS))
     floors = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
     others = stats.join(first, ["dim", "block"], "left_anti")
     asked = queries.join(floors, queries.vec_id == floors.query_id, "left").drop("query_id").join(others, "dim")
