@@ -7,7 +7,8 @@ P(grade <= k) = sigmoid(threshold_k - score). Documents are selected by the
 tail probability P(grade >= 2).
 
 The model is fitted on a bounded sample of labelled rows: the SAMPLE rows
-whose ids have the smallest hashes. Only their features reach the driver.
+whose ids have the smallest hashes, or as many of the first of them as have
+SAMPLE_FEATURES features together. Only their features reach the driver.
 Every document is scored over its whole text, without a shuffle.
 """
 
@@ -20,10 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .scratch import Scratch
 from .textops import mix, slices, token_runs
 
 SAMPLE = 10_000  # labelled rows that the model is fitted on, at most
+SAMPLE_FEATURES = 40_000_000  # features of those rows together, at most: what the driver holds while it fits
 BUCKETS = 1 << 22  # so many that words seen once seldom share one with a telling word
 PREFIXES = (4, 5)  # bytes
 GRADES = 3
@@ -154,8 +158,8 @@ def grade(quality, toxic):
     return F.when(quality > 0, 1).otherwise(0) + F.when(toxic > 0, 0).otherwise(1)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model fitted on at most ``sample`` labelled documents; without any, one that gives every text grade 2."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_FEATURES) -> Model:
+    """The model fitted on at most ``sample`` labelled documents of at most ``most`` features together; without any, one that gives every text grade 2."""
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     rated = rated.select(F.col("doc_id").alias("rated_id"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     chosen = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
@@ -169,7 +173,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
                 own = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.array(own, pa.binary())], names=["doc_id", "grade", "buckets"])
 
-    table = texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(run, "doc_id long, grade int, buckets binary").toArrow()
+    found = Scratch(spark).write(texts.select(F.col("doc_id").cast("long"), F.col("grade").cast("int"), "text").mapInArrow(run, "doc_id long, grade int, buckets binary"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = found.groupBy("doc_id").agg(F.sum(F.length("buckets").cast("long") / 4).alias("n"))  # sample rows at most
+    fits = sizes.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= most).select(F.col("doc_id").alias("fit_id"))
+    table = found.join(F.broadcast(fits), F.col("doc_id") == F.col("fit_id")).drop("fit_id").toArrow()
     if not table.num_rows:
         return Model(np.zeros(BUCKETS, np.float32), np.full(GRADES - 1, -50.0))
     table = table.sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
