@@ -5,7 +5,8 @@ training: piece i is the byte string of rank i with every byte mapped to a
 printable character, its score is -i, and normalisation is the identity.
 Merging by the highest score is then merging by the lowest rank. Pre-tokens
 (matches of the pattern) are encoded separately; a pre-token that is itself a
-piece is that piece. Decoding looks up each id's byte string.
+piece is that piece. Decoding asks the model for each id's piece and maps its
+characters back to bytes.
 
 The model is a fixed few megabytes at most (the size of the vocabulary), so it
 is broadcast. Texts are handled one by one inside a task; pre-tokens seen
@@ -95,11 +96,12 @@ class Codec:
     """
 
     def __init__(self, ranks: list[bytes], model: bytes, pattern: str):
-        self.pieces = ranks
         self.whole = {p: i for i, p in enumerate(ranks)}
         self.split = regex.compile(pattern).findall
         self.spm = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.table = {i: c for i, c in enumerate(byte_characters())}
+        back = {ord(c): b for b, c in enumerate(byte_characters())}
+        self.pieces = [p.translate(back).encode("latin-1") for p in self.spm.id_to_piece(list(range(len(ranks))))]
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, pretokens: list[str]) -> None:

@@ -77,7 +77,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     padded[: len(data)] = data
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     sizes = ends - starts
-    h = mix(sizes.astype(U64) + U64(_BASE) * U64(2 * seed + 1))
+    h = mix(sizes.astype(U64) + U64(_BASE * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF))
     rows = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
     for at in range(0, SHORT, 8):
         rows = rows[sizes[rows] > at] if at else rows
