@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bases import kmer_text, reverse_complement
+from ..session import stored
+from .seed_index import SeedIndex, build_index, search_index
 from .tiles import cut, longest_of, look_up
 
 SEED, STEP, LONGEST, TILE = 12, 8, 64, 256
@@ -134,8 +136,18 @@ def top_hits(checked: DataFrame, most: int = TOP, worst: int = 15) -> DataFrame:
     return places.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def search(genome: DataFrame, reads: DataFrame, k: int = SEED, step: int = STEP, left: int = LEFT, right: int = RIGHT, most: int = TOP) -> DataFrame:
-    """The seed search from end to end: (read_id, strand, chrom_idx, start, error, len, rank)."""
-    if k < 6 or step < 1:
-        raise ValueError("seeds have 6 bases or more and steps are positive")
+def search_plainly(genome: DataFrame, reads: DataFrame, k: int = SEED, step: int = STEP, left: int = LEFT, right: int = RIGHT, most: int = TOP) -> DataFrame:
+    """The seed search with every window of every seed compared."""
     return top_hits(verified(windows(genome, reads, diagonals(seed_hits(genome, reads, k, step)), left, right)), most)
+
+
+def search(genome: DataFrame, reads: DataFrame, k: int = SEED, step: int = STEP, left: int = LEFT, right: int = RIGHT, most: int = TOP, index: SeedIndex | None = None) -> DataFrame:
+    """The seed search from end to end: (read_id, strand, chrom_idx, start, error, len, rank), as search_plainly() gives it.
+
+    ``index`` is the genome's stored index; without one it is built for this search.
+    """
+    if step < 1:
+        raise ValueError("steps are positive")
+    reads = stored(reads.select("read_id", "seq"))
+    index = index or build_index(genome, max(k, longest_of(reads, F.length("seq"))), k, left, right)
+    return search_index(index, reads, step, left, right, most)

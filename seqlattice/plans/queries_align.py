@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import bases
 from ..functions.scores import adler32, dcode, parse_dcode
 from ..operators import alignments, loci, seeding
+from ..operators import seed_index as seed_index_of
 from ..operators.tiles import longest_of
 from ..session import scratch_path
 from ..sources.fixtures import GENOME_SQL, READS_SQL, genome, reads
@@ -55,6 +56,12 @@ def seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeding.seed_hits(genome(spark, sf_dir), reads(spark, sf_dir))
 
 
+def indexed_seed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed hits, read off a stored index."""
+    r = reads(spark, sf_dir)
+    return seed_index_of.indexed_hits(seed_index_of.build_index(genome(spark, sf_dir), longest_read(spark, sf_dir)), r)
+
+
 def seed_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeding.diagonals(seed_hits(spark, sf_dir))
 
@@ -265,7 +272,7 @@ lines AS (SELECT read_id, CASE WHEN p IS NULL THEN concat_ws(chr(9), name, '4',
 QUERIES = {
     f.__name__: f
     for f in (
-        base_composition, encoded_bases, reverse_complement, kmer_histogram, kmer_prefix_sum, seed_index, seed_hits, seed_diagonals, seed_suppression, verify_windows,
+        base_composition, encoded_bases, reverse_complement, kmer_histogram, kmer_prefix_sum, seed_index, seed_hits, indexed_seed_hits, seed_diagonals, seed_suppression, verify_windows,
         verify_edit_distance, top10_hits, exact_hits, locus_sequence, locus_weight, sam_render_seed, sam_parse_xa, sam_unaligned, sam_header, place_digest, dcode_roundtrip,
         longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, reads_roundtrip, bed_roundtrip, sam_roundtrip, output_names,
     )
@@ -329,6 +336,7 @@ FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '[^ACGTacgt]', 'N', 'g'
 SELECT kmer, n, CAST(sum(n) OVER (ORDER BY kmer) - n AS BIGINT) AS "offset" FROM c""",
     "seed_index": f"WITH {READS_SQL}, {SEEDS_SQL} SELECT * FROM seeds",
     "seed_hits": f"WITH {HITS_SQL} SELECT * FROM hits",
+    "indexed_seed_hits": f"WITH {HITS_SQL} SELECT * FROM hits",
     "seed_diagonals": f"WITH {DIAGONALS_SQL} SELECT * FROM diagonals",
     "seed_suppression": f"""WITH RECURSIVE {HITS_SQL},
 ends AS MATERIALIZED (SELECT DISTINCT read_id, strand, chrom_idx, length(seq) AS len, CAST(pos + {K - 1} AS BIGINT) AS "end" FROM hits JOIN reads USING (read_id)),

@@ -1,24 +1,27 @@
-"""Seed search over a stream of reads: each micro-batch against a stored genome, without state between batches."""
+"""Seed search over a stream of reads: each micro-batch against a stored index, without state between batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import seeding
+from ..operators.seed_index import SeedIndex, build_index, search_index
+
+LONGEST = 256  # bases of a read, where the index is built here
 
 
-def search_stream(reads: DataFrame, genome: DataFrame, path: str, checkpoint: str, search: Callable[..., DataFrame] = seeding.search, **trigger) -> StreamingQuery:
+def search_stream(reads: DataFrame, genome: DataFrame | SeedIndex, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Starts a query that appends the best places of each micro-batch of ``reads`` (read_id, seq) to Parquet at ``path``.
 
-    A read's places depend on that read alone, so batches may be cut anywhere;
-    each batch overwrites its own folder, so a batch that runs again after a
-    failure leaves the same rows. Read the result with ``path``/batch=*.
+    ``genome`` is a stored index, or a genome whose index is built once here;
+    batches scan no sequence and shuffle their own seeds only. A read's places
+    depend on that read alone, so batches may be cut anywhere; each batch
+    overwrites its own folder, so a batch that runs again after a failure
+    leaves the same rows. Read the result with ``path``/batch=*.
     """
+    index = genome if isinstance(genome, SeedIndex) else build_index(genome, LONGEST)
 
     def each(batch: DataFrame, number: int) -> None:
-        search(genome, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        search_index(index, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
