@@ -10,9 +10,6 @@ from ..operators.tiles import cut
 from ..session import spread
 
 
-EDGE = 10
-
-
 def _bases(text: str, least: int):
     """The upper-cased bases of a text as an array of one, or of none if there are fewer than ``least``; exploding it evaluates the text once."""
     seq = F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^ACGTacgt]+", ""))
@@ -35,15 +32,14 @@ def reads(spark: SparkSession, sf_dir: str, least: int = 15) -> DataFrame:
 def training_reads(spark: SparkSession, sf_dir: str, length: int = 30, step: int = 200) -> DataFrame:
     """reads(), and ``length`` bases of every chromosome from each ``step``-th base on, of both strands in turn: enough for the model to learn from.
 
-    The latter keep EDGE bases from the chromosome's ends, as the model looks
-    for flanks on both sides. Their names are DOC<chromosome>_<start>_<strand>.
+    Names of the latter are DOC<chromosome>_<start>_<strand>.
     """
-    cuts = genome(spark, sf_dir).select("chrom_idx", "chrom", F.posexplode(cut(F.substring("seq", F.lit(EDGE + 1), F.col("seq_len")), step, length + EDGE)).alias("i", "part"))
-    cuts = cuts.where(F.length("part") >= length + EDGE).withColumn("minus", F.col("i") % 2 == 1)
+    cuts = genome(spark, sf_dir).select("chrom_idx", "chrom", F.posexplode(cut("seq", step, length)).alias("i", "part"))
+    cuts = cuts.where(F.length("part") >= length).withColumn("minus", F.col("i") % 2 == 1)
     plus = F.substring("part", F.lit(1), F.lit(length))
     seq = F.when(F.col("minus"), reverse_complement(plus)).otherwise(plus)
     number = (F.col("chrom_idx") + 1) * (1 << 24) + F.col("i")
-    name = F.concat(F.lit("DOC"), F.col("chrom_idx").cast("string"), F.lit("_"), (F.col("i") * step + EDGE).cast("string"), F.when(F.col("minus"), "_-").otherwise("_+"))
+    name = F.concat(F.lit("DOC"), F.col("chrom_idx").cast("string"), F.lit("_"), (F.col("i") * step).cast("string"), F.when(F.col("minus"), "_-").otherwise("_+"))
     return reads(spark, sf_dir).unionByName(cuts.select(number.alias("read_id"), name.alias("name"), seq.alias("seq"), F.lit("*").alias("qual")))
 
 

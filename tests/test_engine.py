@@ -121,6 +121,24 @@ def test_realignment_places_reads_and_its_likelihood_rises(spark):
             assert int(x[4]) <= 17 if i in single else int(x[4]) <= 40  # held to the input's quality where there is one hit only
 
 
+def test_reads_at_the_ends_of_their_chromosome_align_whole(spark):
+    rnd = random.Random(28)
+    chromosomes = ["".join(rnd.choices("ACGT", k=2000)) for _ in range(2)] + ["".join(rnd.choices("ACGT", k=n)) for n in (30, 34, 38)]
+    truth = drawn_reads(chromosomes[:2], 2000, 0.01, seed=29)
+    other = str.maketrans("ACGT", "TGCA")
+    spots = [(c, at) for c, s in enumerate(chromosomes) for at in sorted({0, 1, 4, len(s) - 30, max(0, len(s) - 32)}) if at + 30 <= len(s)]
+    ends = [(s if k == "+" else s[::-1].translate(other), c, at, k, True) for c, at in spots for k in "+-" for s in [chromosomes[c][at : at + 30]]]
+    over = ["GTC" + chromosomes[0][:30], chromosomes[1][-30:] + "CAG"]
+    g, r = frames(spark, chromosomes, [t[0] for t in truth + ends] + over)
+    done = realign.realign(spark, g, r, loci.hits_of(seeding.search(g, r)))
+    lines = {int(x.line.split("\t")[0][1:]): x.line.split("\t") for x in realign.records(done["with_priors"], g, r).collect()}
+    for i, (_, c, at, strand, _) in enumerate(ends, len(truth)):
+        x = lines[i]
+        assert (x[1], x[2], int(x[3]), x[5], x[11:]) == ("0" if strand == "+" else "16", f"chr_{c}", at + 1, "30M", ["NM:i:0", "MD:Z:30"])
+    first, last = lines[len(truth) + len(ends)], lines[len(truth) + len(ends) + 1]
+    assert first[2:4] + first[5:6] == ["chr_0", "1", "3I30M"] and last[2:4] + last[5:6] == ["chr_1", str(2000 - 29), "30M3I"]
+
+
 def test_most_reads_of_the_given_tables_are_realigned_where_they_fit(spark):
     folder = "/root/testdata/sf0.01"
     genome = {r.chrom: r.seq for r in queries_model.genome(spark, folder).collect()}
@@ -258,9 +276,9 @@ def test_fasta_fastq_bed_and_sam_files(spark, tmp_path):
     (tmp_path / "r.bed").write_text("#c\nchr1\t5\t10\tn\t0\t-\nchr2 1 2\n")
     assert {tuple(r) for r in formats.read_bed(spark, str(tmp_path / "r.bed")).collect()} == {("chr1", 5, 10, "-"), ("chr2", 1, 2, "+")}
     g, r = frames(spark, ["ACGTACGTACGTAAAA"], [])
-    records = spark.createDataFrame([(0, 5, "b"), (0, 2, "a")], "chrom_idx long, pos long, line string")
+    records = spark.createDataFrame([(None, None, "none"), (0, 5, "b"), (0, 2, "a")], "chrom_idx long, pos long, line string")
     alignments.write_sam(g, records, str(tmp_path / "out"))
-    assert [x.value for x in spark.read.text(str(tmp_path / "out")).collect()] == ["@HD\tVN:1.3\tSO:coordinate", "@SQ\tSN:chr_0\tLN:16", "a", "b"]
+    assert [x.value for x in spark.read.text(str(tmp_path / "out")).collect()] == ["@HD\tVN:1.3\tSO:coordinate", "@SQ\tSN:chr_0\tLN:16", "a", "b", "none"]
     assert formats.list_files(spark, str(tmp_path), ".fa").count() == 2
 
 
