@@ -12,6 +12,7 @@ from ..operators import alignments, loci, seeding
 from ..operators import seed_index as seed_index_of
 from ..operators.tiles import longest_of
 from ..session import scratch_path
+from ..sources.bam import read_bam, write_bam
 from ..sources.fixtures import GENOME_SQL, READS_SQL, genome, reads
 from ..sources.formats import parse_sam_lines, read_bed, read_fasta, read_reads, read_sam, sam_hits
 
@@ -231,6 +232,15 @@ def sam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(e.select("name", fields.alias("fields")))
 
 
+def bam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed records parsed, written as BAM files with small members, and read again in splits of a few members."""
+    entries = parse_sam_lines(sam_render_seed(spark, sf_dir).select(F.col("line").alias("value")))
+    path = scratch_path(spark)
+    write_bam(entries.repartition(3), genome(spark, sf_dir), path, block=3_000)
+    fields = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "nm", "xa")])
+    return read_bam(spark, path, 10_000).select("name", fields.alias("fields"))
+
+
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files named by the documents' ids, with and without folder, id and code, listed by suffix."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id")
@@ -274,7 +284,7 @@ QUERIES = {
     for f in (
         base_composition, encoded_bases, reverse_complement, kmer_histogram, kmer_prefix_sum, seed_index, seed_hits, indexed_seed_hits, seed_diagonals, seed_suppression, verify_windows,
         verify_edit_distance, top10_hits, exact_hits, locus_sequence, locus_weight, sam_render_seed, sam_parse_xa, sam_unaligned, sam_header, place_digest, dcode_roundtrip,
-        longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, reads_roundtrip, bed_roundtrip, sam_roundtrip, output_names,
+        longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, reads_roundtrip, bed_roundtrip, sam_roundtrip, bam_roundtrip, output_names,
     )
 }
 
@@ -325,6 +335,8 @@ f AS (SELECT line, str_split(line, chr(9)) AS f FROM lines)
 SELECT '@' AS name, '@HD' || chr(9) || 'VN:1.3' || chr(9) || 'SO:coordinate' AS fields
 UNION ALL SELECT '@', '@SQ' || chr(9) || 'SN:' || chrom || chr(9) || 'LN:' || seq_len FROM genome
 UNION ALL SELECT f[1], concat_ws('|', f[2], f[3], f[4], f[5], f[6], f[10], f[11], CASE WHEN len(f) >= 12 THEN replace(f[12], 'NM:i:', '') ELSE '-' END, CASE WHEN len(f) >= 13 THEN replace(f[13], 'XA:Z:', '') ELSE '-' END) FROM f""",
+    "bam_roundtrip": f"""WITH {SAM_SQL}, f AS (SELECT str_split(line, chr(9)) AS f FROM lines)
+SELECT f[1] AS name, concat_ws('|', f[2], f[3], f[4], f[5], f[6], f[10], f[11], CASE WHEN len(f) >= 12 THEN replace(f[12], 'NM:i:', '') ELSE '-' END, CASE WHEN len(f) >= 13 THEN replace(f[13], 'XA:Z:', '') ELSE '-' END) AS fields FROM f""",
     "output_names": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'out/' ELSE '' END || 'aln.' || CASE WHEN doc_id % 3 = 0 THEN 'run' || doc_id || '.' ELSE '' END
   || CASE WHEN doc_id % 2 = 0 THEN 'DCODE' || lpad(printf('%X', ((((doc_id % 256) * 256 + (doc_id + 1) % 256) * 256 + (doc_id + 2) % 256) * 256 + (doc_id + 3) % 256) * 256 + (doc_id + 4) % 256), 16, '0') || '.' ELSE '' END || 'sam' AS file FROM documents WHERE doc_id IS NOT NULL""",
     "base_composition": f"WITH {GENOME_SQL} SELECT base, CAST(sum(length(seq) - length(replace(seq, base, ''))) AS BIGINT) AS n FROM genome, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY base",
