@@ -14,11 +14,23 @@ def cut(seq: Column | str, size: int, overlap: int) -> Column:
     return F.zip_with(parts, F.slice(parts, F.lit(2), F.lit(1 << 30)), lambda a, b: F.concat(a, F.substring(F.coalesce(b, F.lit("")), F.lit(1), F.lit(overlap))))
 
 
+def pieces(genome, size: int, overlap: int) -> DataFrame:
+    """(chrom_idx, tile, part, seq_len): pieces of ``size`` letters, each followed by the next ``overlap``, of a genome (chrom_idx, seq, seq_len) or of one that cuts its own tiles."""
+    if not isinstance(genome, DataFrame):
+        return genome.tiles(size, overlap)
+    cuts = genome.select("chrom_idx", "seq_len", F.posexplode(cut("seq", size, overlap)).alias("tile", "part"))
+    return cuts.select("chrom_idx", F.col("tile").cast("long").alias("tile"), "part", "seq_len")
+
+
+def chromosomes_of(genome) -> DataFrame:
+    """The table of chromosomes (chrom_idx, chrom, seq_len) of either kind of genome."""
+    return genome if isinstance(genome, DataFrame) else genome.chromosomes
+
+
 def tiles(genome: DataFrame, longest: int, size: int = TILE) -> tuple[DataFrame, int]:
     """(chrom_idx, tile, part, seq_len) and the tiles' size: any ``longest`` letters that begin in a tile lie in its part."""
     size = max(size, longest)
-    cuts = genome.select("chrom_idx", "seq_len", F.posexplode(cut("seq", size, longest)).alias("tile", "part"))
-    return cuts.select("chrom_idx", F.col("tile").cast("long").alias("tile"), "part", "seq_len"), size
+    return pieces(genome, size, longest), size
 
 
 def look_up(places: DataFrame, genome: DataFrame, start: str, longest: int) -> DataFrame:

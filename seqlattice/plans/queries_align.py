@@ -13,6 +13,7 @@ from ..operators import seed_index as seed_index_of
 from ..operators.tiles import longest_of
 from ..session import scratch_path
 from ..sources.bam import read_bam, write_bam
+from ..sources.fasta import index_fasta
 from ..sources.fixtures import GENOME_SQL, READS_SQL, genome, reads
 from ..sources.formats import parse_sam_lines, read_bed, read_fasta, read_reads, read_sam, sam_hits
 
@@ -200,6 +201,27 @@ def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fasta(spark, path)
 
 
+def _indexed(spark: SparkSession, sf_dir: str):
+    """The genome as FASTA files with lines of 60 bases and odd headers, and their index in stretches of a few lines."""
+    body = F.array_join(F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)), "\n")
+    path = scratch_path(spark)
+    genome(spark, sf_dir).select(F.concat(F.lit(">"), "chrom", F.lit(" a->b >x\n"), body).alias("record")).write.text(path)
+    return index_fasta(spark, path, stretch=1_000, split=50_000)
+
+
+def fasta_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 100 bases and the next 20, cut from byte ranges."""
+    g = _indexed(spark, sf_dir)
+    return g.tiles(100, 20).join(g.chromosomes.select("chrom_idx", "chrom"), "chrom_idx").select("chrom", "tile", "part", "seq_len")
+
+
+def fasta_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loci of hits, read by their own bytes."""
+    g = _indexed(spark, sf_dir)
+    hits = exact_hits(spark, sf_dir).select("read_id", "hit_idx", F.concat(F.lit("doc"), F.col("chrom_idx").cast("string")).alias("chrom"), (F.col("start") - 5).alias("start"), (F.col("stop") + 5).alias("stop"))
+    return g.fetch(hits.join(g.chromosomes, "chrom"), ["read_id", "hit_idx"])
+
+
 def reads_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as FASTQ and as FASTA and read again."""
     r = reads(spark, sf_dir).withColumn("qual", F.translate("seq", "ACGT", "!@>I"))
@@ -284,7 +306,7 @@ QUERIES = {
     for f in (
         base_composition, encoded_bases, reverse_complement, kmer_histogram, kmer_prefix_sum, seed_index, seed_hits, indexed_seed_hits, seed_diagonals, seed_suppression, verify_windows,
         verify_edit_distance, top10_hits, exact_hits, locus_sequence, locus_weight, sam_render_seed, sam_parse_xa, sam_unaligned, sam_header, place_digest, dcode_roundtrip,
-        longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, reads_roundtrip, bed_roundtrip, sam_roundtrip, bam_roundtrip, output_names,
+        longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, fasta_tiles, fasta_fetch, reads_roundtrip, bed_roundtrip, sam_roundtrip, bam_roundtrip, output_names,
     )
 }
 
@@ -328,6 +350,8 @@ ORACLE_SQL = {
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY read_id ORDER BY error, chrom_idx, start, strand) AS INTEGER) AS rank FROM places)
 SELECT read_id, strand, chrom_idx, start, error, len, rank FROM r WHERE rank <= 10""",
     "fasta_roundtrip": f"WITH {GENOME_SQL} SELECT chrom, seq, CAST(seq_len AS INTEGER) AS seq_len FROM genome",
+    "fasta_tiles": f"WITH {GENOME_SQL} SELECT chrom, tile, substr(seq, CAST(tile * 100 + 1 AS BIGINT), 120) AS part, seq_len FROM (SELECT *, unnest(range(0, (seq_len + 99) // 100)) AS tile FROM genome)",
+    "fasta_fetch": f"WITH {LOCI_SQL} SELECT read_id, hit_idx, plus AS seq FROM loci",
     "reads_roundtrip": f"WITH {READS_SQL} SELECT 'fastq' AS kind, name, seq, translate(seq, 'ACGT', '!@>I') AS qual FROM reads UNION ALL SELECT 'fasta', name, seq, '*' FROM reads",
     "bed_roundtrip": f"""WITH {GENOME_SQL} SELECT chrom, chrom_idx % 7 AS start, chrom_idx % 7 + seq_len AS stop, CASE WHEN chrom_idx % 5 > 2 AND chrom_idx % 2 = 1 THEN '-' ELSE '+' END AS strand FROM genome WHERE chrom_idx % 5 <> 0""",
     "sam_roundtrip": f"""WITH {SAM_SQL},
