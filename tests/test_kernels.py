@@ -126,3 +126,31 @@ def test_rendering():
     assert render([col("A", "A"), col("-", "G"), col("C", "T")]) == (0, "1M1D1M", "1^G0T0", 2)
     assert render(flank) == (0, "*", "0", 0)
     assert render([col("A", "A")] * 200) == (0, "200M", "200", 0)
+
+
+def test_long_pairs_keep_their_scale():
+    rng = np.random.default_rng(11)
+    T = np.log(initial_model())
+    read = rng.integers(0, 4, 300)
+    locus = np.concatenate([rng.integers(0, 4, 5), read, rng.integers(0, 4, 5)])
+    lattice = Lattice(read[None], locus[None])
+    score, f = forward(lattice, T)
+    assert np.isfinite(score[0]) and np.isclose(score[0], backward(lattice, T)[0][0])
+    counts = expected_counts(lattice, T, f, score, np.ones(1))
+    assert 300 < counts.sum() < 330
+    best, paths = viterbi(lattice, T)
+    assert best[0] <= score[0] and render([16 * r + g for r, g in paths[0]])[:2] == (5, "300M")
+
+
+def test_pieces_hold_reads_of_one_length_and_fit_in_memory(monkeypatch):
+    import pyarrow as pa
+
+    from seqlattice.operators import em
+
+    monkeypatch.setattr(em, "TABLE_BYTES", 3 << 20)
+    rng = random.Random(2)
+    rows = [("A" * rng.choice((20, 30, 75, 400)), [1] * rng.randint(1, 10)) for _ in range(200)]
+    parts = list(em._pieces(pa.RecordBatch.from_pydict({"seq": [s for s, _ in rows], "hits": [h for _, h in rows]})))
+    assert sorted((r["seq"], r["hits"]) for p in parts for r in p.to_pylist()) == sorted(rows)
+    assert sum(len({len(s) for s in p["seq"].to_pylist()}) > 1 for p in parts) <= 3
+    assert all(p.num_rows == 1 or sum(em.CELL_BYTES * (len(r["seq"]) + 3) * (2 * len(r["seq"]) + 13) * len(r["hits"]) for r in p.to_pylist()) <= 3 << 20 for p in parts)
