@@ -17,6 +17,7 @@ from .tiles import cut, longest_of, look_up
 
 SEED, STEP, LONGEST, TILE = 12, 8, 64, 256
 LEFT, RIGHT, TOP = 0, 10, 10
+CUT = 1 << 20  # bases of a stretch of ends that are sorted together
 
 
 def genome_kmers(genome: DataFrame, k: int = SEED, tile: int = TILE) -> DataFrame:
@@ -53,18 +54,41 @@ def diagonals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("read_id", "strand", "chrom_idx", (F.col("pos") - F.col("offset")).alias("diagonal")).agg(F.count("*").alias("seeds"))
 
 
-def suppressed(hits: DataFrame, reads: DataFrame, k: int = SEED) -> DataFrame:
-    """Hits that a scan from the left would test: one is taken if it ends a read's length or more after the last one taken, by read, strand and chromosome."""
-    ends = hits.join(reads.select("read_id", F.length("seq").alias("len")), "read_id").select("read_id", "strand", "chrom_idx", "len", (F.col("pos") + k - 1).alias("end"))
-    lists = ends.groupBy("read_id", "strand", "chrom_idx", "len").agg(F.array_sort(F.collect_set("end")).alias("ends"))
-    start = F.struct(F.lit(-1).cast("long").alias("next"), F.array().cast("array<bigint>").alias("taken"))
+def admissible_links(ends: DataFrame, keys: list[str], width: int = CUT) -> DataFrame:
+    """``keys``, end and next: for each end the smallest one of its group that comes ``len`` or more after it, null if there is none.
 
-    def step(s, e):
-        take = e >= s["next"]
-        return F.struct(F.when(take, e + F.col("len")).otherwise(s["next"]).cast("long").alias("next"), F.when(take, F.concat(s["taken"], F.array(e.cast("bigint")))).otherwise(s["taken"]).alias("taken"))
+    Ends and the points len after them are sorted together inside stretches of
+    ``width``; where a stretch holds no end any more, the first one of the next
+    stretches counts. So no window holds a whole group.
+    """
+    own = ends.select(*keys, F.col("end").alias("v"), F.col("end").alias("real"), F.lit(None).cast("long").alias("of"))
+    asked = ends.select(*keys, (F.col("end") + F.col("len")).alias("v"), F.lit(None).cast("long").alias("real"), F.col("end").alias("of"))
+    points = own.unionByName(asked).withColumn("stretch", F.floor(F.col("v") / width))
+    ahead = Window.partitionBy(*keys, "stretch").orderBy("v", F.col("real").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    near = points.withColumn("near", F.first("real", ignorenulls=True).over(ahead)).where("of IS NOT NULL")
+    later = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(1, Window.unboundedFollowing)
+    stretches = points.groupBy(*keys, "stretch").agg(F.min("real").alias("first")).withColumn("far", F.first("first", ignorenulls=True).over(later)).drop("first")
+    return near.join(stretches, [*keys, "stretch"]).select(*keys, F.col("of").alias("end"), F.coalesce("near", "far").alias("next"))
 
-    taken = F.aggregate("ends", start, step, lambda s: s["taken"])
-    return lists.select("read_id", "strand", "chrom_idx", F.explode(taken).alias("end"))
+
+def suppressed(hits: DataFrame, reads: DataFrame, k: int = SEED) -> DataFrame:
+    """Hits that a scan from the left would test: one is taken if it ends a read's length or more after the last one taken, by read, strand and chromosome.
+
+    The taken ends are a chain of links from the first. It is followed in
+    steps that double: a round adds the ends one jump behind those found so
+    far, then joins every jump with the next; rounds are written, and end when
+    no jump is left. No group is ever one list or one task.
+    """
+    keys = ["read_id", "strand", "chrom_idx"]
+    lengths = reads.select("read_id", F.length("seq").cast("long").alias("len"))
+    ends = stored(hits.join(lengths, "read_id").select(*keys, "len", (F.col("pos") + k - 1).cast("long").alias("end")).distinct())
+    taken = ends.groupBy(*keys).agg(F.min("end").alias("end"))
+    jumps = stored(admissible_links(ends, keys).where("next IS NOT NULL"))
+    while not jumps.isEmpty():
+        taken = stored(taken.unionByName(taken.join(jumps, [*keys, "end"]).select(*keys, F.col("next").alias("end"))))
+        onward = jumps.select(*keys, F.col("end").alias("next"), F.col("next").alias("after"))
+        jumps = stored(jumps.join(onward, [*keys, "next"]).select(*keys, "end", F.col("after").alias("next")))
+    return taken
 
 
 def windows(genome: DataFrame, reads: DataFrame, places: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
@@ -115,14 +139,55 @@ def best_matches(patterns: list[str], texts: list[str]) -> tuple[np.ndarray, np.
     return best, where
 
 
-def verified(windowed: DataFrame) -> DataFrame:
-    """Windows with error (smallest edit distance) and start (where in the chromosome that match begins, from 0)."""
+def best_matches_whole(patterns: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """best_matches() over whole patterns of any length: states in words of 64, from which carries go on to the next word."""
+    n, one = len(patterns), np.uint64(1)
+    sizes, lengths = np.array([len(p) for p in patterns], np.int64), np.array([len(t) for t in texts], np.int64)
+    words = max(1, -(-int(sizes.max(initial=1)) // LONGEST))
+    masks = np.zeros((n, 256, words), np.uint64)
+    for i, p in enumerate(patterns):
+        raw = np.frombuffer(p.encode("ascii", "replace")[::-1], np.uint8)
+        place = np.arange(len(raw))
+        np.bitwise_or.at(masks[i], (raw, place // LONGEST), one << (place % LONGEST).astype(np.uint64))
+    width = int(lengths.max(initial=0))
+    letters = np.zeros((n, width), np.uint8)
+    for i, t in enumerate(texts):
+        letters[i, : len(t)] = np.frombuffer(t.encode("ascii", "replace")[::-1], np.uint8)
+    last_word, last_bit = np.maximum(sizes - 1, 0) // LONGEST, one << (np.maximum(sizes - 1, 0) % LONGEST).astype(np.uint64)
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    score, best, where, rows = sizes.copy(), sizes.copy(), lengths.copy(), np.arange(n)
+    high = np.uint64(LONGEST - 1)
+    for j in range(width):
+        plus_in, minus_in = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # what the row above gives the next word: one more, or one less
+        for w in range(words):
+            equal = masks[rows, letters[:, j], w]
+            vertical = equal | down[w]
+            equal = equal | minus_in
+            across = (((equal & up[w]) + up[w]) ^ up[w]) | equal
+            plus = down[w] | ~(across | up[w])
+            minus = up[w] & across
+            mine = last_word == w
+            score = score + (mine & ((plus & last_bit) > 0)) - (mine & ((minus & last_bit) > 0))
+            plus_out, minus_out = plus >> high, minus >> high
+            plus, minus = plus << one | plus_in, minus << one | minus_in
+            up[w], down[w] = minus | ~(vertical | plus), plus & vertical
+            plus_in, minus_in = plus_out, minus_out
+        better = (score < best) & (j < lengths) & (sizes > 0)
+        best, where = np.where(better, score, best), np.where(better, lengths - j - 1, where)
+    return best, where
+
+
+def verified(windowed: DataFrame, whole: bool = False) -> DataFrame:
+    """Windows with error (smallest edit distance) and start (where in the chromosome that match begins, from 0).
+
+    Of a longer read the first 64 bases count, with ``whole`` all of them.
+    """
     schema = windowed.select("*", F.lit(0).alias("error"), F.lit(0).cast("long").alias("start")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 4_096) for i in range(0, whole.num_rows, 4_096)):
-                error, at = best_matches(batch["read"].to_pylist(), batch["window"].to_pylist())
+                error, at = (best_matches_whole if whole else best_matches)(batch["read"].to_pylist(), batch["window"].to_pylist())
                 start = batch["window_start"].to_numpy(zero_copy_only=False) + at
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(error.astype(np.int32)), pa.array(start.astype(np.int64))], names=[f.name for f in schema])
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import bases
 from ..functions.scores import adler32, dcode, parse_dcode
-from ..operators import alignments, loci, seeding
+from ..operators import alignments, intervals, loci, seeding
 from ..operators import seed_index as seed_index_of
 from ..operators.tiles import longest_of
 from ..session import scratch_path
@@ -182,6 +182,16 @@ def paths_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("read_id", "hit_idx", "strand", path.alias("path"))
 
 
+def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loci of hits against regions: every third chromosome as a whole, of the others 100 of every 150 bases."""
+    g = genome(spark, sf_dir)
+    whole = g.where("chrom_idx % 3 = 0").select("chrom_idx", F.lit(0).alias("start"), F.col("seq_len").alias("stop"))
+    parts = g.where("chrom_idx % 3 > 0").select("chrom_idx", F.explode(F.sequence(F.lit(0), F.col("seq_len") - 1, F.lit(150))).alias("start"))
+    regions = whole.unionByName(parts.withColumn("stop", F.col("start") + 100))
+    met = intervals.overlaps(exact_hits(spark, sf_dir), regions, "chrom_idx", 5)
+    return met.select("read_id", "hit_idx", "chrom_idx", "other_start", "other_stop", "shared")
+
+
 def locus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loci.locus_sequences(genome(spark, sf_dir), exact_hits(spark, sf_dir), longest=longest_read(spark, sf_dir))
 
@@ -306,7 +316,7 @@ QUERIES = {
     for f in (
         base_composition, encoded_bases, reverse_complement, kmer_histogram, kmer_prefix_sum, seed_index, seed_hits, indexed_seed_hits, seed_diagonals, seed_suppression, verify_windows,
         verify_edit_distance, top10_hits, exact_hits, locus_sequence, locus_weight, sam_render_seed, sam_parse_xa, sam_unaligned, sam_header, place_digest, dcode_roundtrip,
-        longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, fasta_tiles, fasta_fetch, reads_roundtrip, bed_roundtrip, sam_roundtrip, bam_roundtrip, output_names,
+        longest_read_length, reversed_qualities, cigar_md_nm, fasta_roundtrip, fasta_tiles, fasta_fetch, interval_overlaps, reads_roundtrip, bed_roundtrip, sam_roundtrip, bam_roundtrip, output_names,
     )
 }
 
@@ -351,6 +361,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY read_id ORDER BY error, chr
 SELECT read_id, strand, chrom_idx, start, error, len, rank FROM r WHERE rank <= 10""",
     "fasta_roundtrip": f"WITH {GENOME_SQL} SELECT chrom, seq, CAST(seq_len AS INTEGER) AS seq_len FROM genome",
     "fasta_tiles": f"WITH {GENOME_SQL} SELECT chrom, tile, substr(seq, CAST(tile * 100 + 1 AS BIGINT), 120) AS part, seq_len FROM (SELECT *, unnest(range(0, (seq_len + 99) // 100)) AS tile FROM genome)",
+    "interval_overlaps": f"""WITH {EXACT_SQL}, regions AS (SELECT chrom_idx, CAST(0 AS BIGINT) AS a, CAST(seq_len AS BIGINT) AS b FROM genome WHERE chrom_idx % 3 = 0
+  UNION ALL SELECT chrom_idx, i * 150, i * 150 + 100 FROM (SELECT chrom_idx, unnest(range(0, (seq_len - 1) // 150 + 1)) AS i FROM genome WHERE chrom_idx % 3 > 0))
+SELECT read_id, hit_idx, e.chrom_idx, a AS other_start, b AS other_stop, least(e.stop, b) - greatest(e.start, a) AS shared FROM exact e JOIN regions r ON r.chrom_idx = e.chrom_idx AND least(e.stop, b) - greatest(e.start, a) >= 5""",
     "fasta_fetch": f"WITH {LOCI_SQL} SELECT read_id, hit_idx, plus AS seq FROM loci",
     "reads_roundtrip": f"WITH {READS_SQL} SELECT 'fastq' AS kind, name, seq, translate(seq, 'ACGT', '!@>I') AS qual FROM reads UNION ALL SELECT 'fasta', name, seq, '*' FROM reads",
     "bed_roundtrip": f"""WITH {GENOME_SQL} SELECT chrom, chrom_idx % 7 AS start, chrom_idx % 7 + seq_len AS stop, CASE WHEN chrom_idx % 5 > 2 AND chrom_idx % 2 = 1 THEN '-' ELSE '+' END AS strand FROM genome WHERE chrom_idx % 5 <> 0""",

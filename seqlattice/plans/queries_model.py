@@ -47,6 +47,18 @@ def posterior_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("read_id", "hit_idx", F.round("posterior", 6).alias("posterior"), F.round("unaligned", 6).alias("unaligned")).join(alone, ["read_id", "hit_idx"])
 
 
+def tempered_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors as the annealing schedule tempers them in the second of five steps."""
+    p = posterior.posteriors(scored_hits(spark, sf_dir), heat=em.heat_of(2, 5))
+    return p.select("read_id", "hit_idx", F.round("posterior", 6).alias("posterior"), F.round("unaligned", 6).alias("unaligned"))
+
+
+def em_genome_prior_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locus priors after the default number of EM iterations."""
+    final = posterior.genome_prior_em(scored_hits(spark, sf_dir))
+    return final.select("read_id", "hit_idx", F.round("prior", 7).alias("prior"), F.round("posterior", 6).alias("posterior"))
+
+
 def prior_reestimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posterior.locus_priors(posterior.posteriors(scored_hits(spark, sf_dir)))
     return p.select(*loci.LOCUS, F.round("prior", 8).alias("prior"))
@@ -144,21 +156,21 @@ SCORED_TAIL = """scored AS (SELECT read_id, name, hit_idx, chrom_idx, start, sto
 SCORED_SQL = f"{LOCI_SQL},\n{SCORED_TAIL}"
 
 
-def _posterior_sql(name: str, source: str, prior: str) -> str:
-    return f"""{name}_x AS (SELECT *, a - g + ln({prior} / sum({prior}) OVER (PARTITION BY read_id) * 0.5) AS x, -47 + ln(0.5::DOUBLE) AS u FROM {source}),
+def _posterior_sql(name: str, source: str, prior: str, heat: str = "1", how: str = "") -> str:
+    return f"""{name}_x AS {how} (SELECT *, {heat} * (a - g + ln({prior} / sum({prior}) OVER (PARTITION BY read_id) * 0.5)) AS x, {heat} * (-47 + ln(0.5::DOUBLE)) AS u FROM {source}),
 {name}_e AS (SELECT *, exp(x - greatest(max(x) OVER (PARTITION BY read_id), u)) AS e, exp(u - greatest(max(x) OVER (PARTITION BY read_id), u)) AS n FROM {name}_x),
-{name} AS (SELECT *, e / (sum(e) OVER (PARTITION BY read_id) + n) AS posterior, n / (sum(e) OVER (PARTITION BY read_id) + n) AS unaligned, e / sum(e) OVER (PARTITION BY read_id) AS posterior_aligned FROM {name}_e)"""
+{name} AS {how} (SELECT *, e / (sum(e) OVER (PARTITION BY read_id) + n) AS posterior, n / (sum(e) OVER (PARTITION BY read_id) + n) AS unaligned, e / sum(e) OVER (PARTITION BY read_id) AS posterior_aligned FROM {name}_e)"""
 
 
 POSTERIOR_SQL = f"{SCORED_SQL}, {_posterior_sql('p0', 'scored', '(0.5::DOUBLE / num_hits)')}"
 
 
-def _prior_em_sql(rounds: int) -> str:
+def _prior_em_sql(rounds: int, how: str = "") -> str:
     parts = [POSTERIOR_SQL]
     for i in range(rounds):
         parts.append(f"m{i} AS (SELECT chrom_idx, start, stop, strand, (sum(posterior) + 10) / sum(sum(posterior) + 10) OVER () AS prior FROM p{i} GROUP BY ALL)")
         parts.append(f"s{i} AS (SELECT s.*, m.prior FROM scored s JOIN m{i} m USING (chrom_idx, start, stop, strand))")
-        parts.append(_posterior_sql(f"p{i + 1}", f"s{i}", "prior"))
+        parts.append(_posterior_sql(f"p{i + 1}", f"s{i}", "prior", how=how))
     return ", ".join(parts)
 
 
@@ -168,7 +180,7 @@ adler AS (SELECT read_id, hit_idx, ((max(n) + sum((n - i + 1) * b)) % 65521) * 6
 
 QUERIES = {
     f.__name__: f
-    for f in (dinuc_counts, dinuc_model, random_score, posterior_softmax, prior_reestimate, best_hit_tiebreak, mapping_quality, hmm_forward_score, hmm_viterbi_path, em_sequence_model, em_genome_prior, realigned_sam, hmm_mstep, sam_records, length_rejects, training_reads_places)
+    for f in (dinuc_counts, dinuc_model, random_score, posterior_softmax, prior_reestimate, best_hit_tiebreak, mapping_quality, hmm_forward_score, hmm_viterbi_path, em_sequence_model, em_genome_prior, realigned_sam, hmm_mstep, sam_records, length_rejects, training_reads_places, tempered_posterior, em_genome_prior_whole)
 }
 
 BEST_SQL = """n AS (SELECT *, max(posterior) OVER (PARTITION BY read_id) - posterior < 1e-4 AS tied FROM p0 JOIN adler USING (read_id, hit_idx)),
@@ -208,6 +220,8 @@ UNION ALL SELECT (chrom_idx + 1) * 16777216 + i, 'DOC' || chrom_idx || '_' || i
     "random_score": f"""WITH {PAIRS_SQL}, q AS (SELECT read_id, CAST((instr('ACGT', substr(seq, CAST(i AS BIGINT), 1)) - 1) * 5 + instr('ACGT', substr(seq, CAST(i + 1 AS BIGINT), 1)) - 1 AS INTEGER) AS code FROM (SELECT read_id, seq, unnest(range(1, length(seq))) AS i FROM reads))
 SELECT read_id, round(sum(ln(prob)), 5) AS score FROM q JOIN model ON model.model = 'read' AND model.code = q.code GROUP BY read_id""",
     "posterior_softmax": f"WITH {POSTERIOR_SQL} SELECT read_id, hit_idx, round(posterior, 6) AS posterior, round(unaligned, 6) AS unaligned, round(posterior_aligned, 6) AS posterior_aligned FROM p0",
+    "tempered_posterior": f"WITH {SCORED_SQL}, {_posterior_sql('p0', 'scored', '(0.5::DOUBLE / num_hits)', 'log10(2 / 5.0::DOUBLE * 9 + 1)')} SELECT read_id, hit_idx, round(posterior, 6) AS posterior, round(unaligned, 6) AS unaligned FROM p0",
+    "em_genome_prior_whole": f"WITH {_prior_em_sql(6, 'MATERIALIZED')} SELECT read_id, hit_idx, round(s5.prior, 7) AS prior, round(posterior, 6) AS posterior FROM p6 JOIN s5 USING (read_id, hit_idx)",
     "prior_reestimate": f"WITH {_prior_em_sql(1)} SELECT chrom_idx, start, stop, strand, round(prior, 8) AS prior FROM m0",
     "best_hit_tiebreak": f"""WITH {POSTERIOR_SQL}, {DIGEST_SQL}, {BEST_SQL}
 SELECT read_id, hit_idx, CAST(ties AS BIGINT) AS ties, unaligned <= posterior AS aligned FROM r WHERE i = 1""",

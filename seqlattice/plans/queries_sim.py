@@ -9,7 +9,7 @@ from ..functions.scores import error_rate
 from ..operators import evaluate, loci, posterior, seeding, simulate
 from ..session import scratch_path
 from ..sources.fixtures import GENOME_SQL, genome
-from ..sources.formats import parse_truth, with_dcode
+from ..sources.formats import parse_sam_lines, parse_truth, placements, with_dcode
 from . import realign
 
 EACH = 4  # simulated reads for each chromosome on average
@@ -82,6 +82,21 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t").schema(row.schema).csv(path)
 
 
+def eval_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placements as SAM lines of three runs, whose names tell their settings, written by run and judged in one scan: a wide row a run."""
+    run = parse_truth(F.col("name"))["n"] % 3
+    file = F.concat(F.lit("aln"), run.cast("string"), F.lit(".DCODE000000080505"), F.lpad(F.hex(run), 2, "0"), F.lit("0A.sam"))
+    mapped, text = F.col("chrom").isNotNull(), lambda c: c.cast("string")
+    flag = F.when(~mapped, "4").when(F.col("strand") == "-", "16").otherwise("0")
+    pos = F.when(mapped, text(F.col("start") + 1)).otherwise("0")
+    cigar = F.when(mapped, F.concat(text(F.col("stop") - F.col("start")), F.lit("M"))).otherwise("*")
+    line = F.concat_ws("\t", "name", flag, F.coalesce("chrom", F.lit("*")), pos, text(F.col("mapq")), cigar, F.lit("*\t0\t0\t*\t*"))
+    path = scratch_path(spark)
+    _placed(spark, sf_dir).select(line.alias("value"), file.alias("file")).write.partitionBy("file").text(path)
+    placed = placements(parse_sam_lines(spark.read.text(path), "file"), "file")
+    return with_dcode(evaluate.file_reports(placed), "file")
+
+
 def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulate, search, re-align and evaluate: the accuracy of best hits by quality."""
     g = genome(spark, sf_dir)
@@ -115,9 +130,9 @@ sim AS (SELECT chrom_idx * 1000000 + i AS read_id, chrom, start, stop, strand, s
 named AS (SELECT *, concat_ws('_', 'ORG' || read_id, chrom, start, stop, strand, errors) AS name FROM sim)"""
 JUDGED_SQL = f"""{MUTATED_SQL},
 placed AS (SELECT *, CASE WHEN read_id % 11 = 0 THEN NULL WHEN read_id % 17 = 0 THEN 'doc_x' ELSE chrom END AS chrom2, read_id % 13 - 6 AS shift, CASE WHEN read_id % 19 = 0 THEN '+' ELSE strand END AS strand2, (read_id * 7) % 70 AS mapq FROM named),
-judged AS (SELECT CAST(least(mapq // 10, 5) AS INTEGER) AS q, least(errors, 5) AS e, chrom2 IS NOT NULL AS mapped, CASE WHEN chrom2 IS NOT NULL THEN chrom2 = chrom AND strand2 = strand AND abs(shift) < 5 END AS correct FROM placed)"""
+judged AS (SELECT read_id, CAST(least(mapq // 10, 5) AS INTEGER) AS q, least(errors, 5) AS e, chrom2 IS NOT NULL AS mapped, CASE WHEN chrom2 IS NOT NULL THEN chrom2 = chrom AND strand2 = strand AND abs(shift) < 5 END AS correct FROM placed)"""
 
-QUERIES = {f.__name__: f for f in (sim_abundance, sim_error_rate, sim_reads, truth_parse, eval_confusion, eval_by_quality, eval_summary, eval_buckets, eval_above, eval_report, closed_loop)}
+QUERIES = {f.__name__: f for f in (sim_abundance, sim_error_rate, sim_reads, truth_parse, eval_confusion, eval_by_quality, eval_summary, eval_buckets, eval_above, eval_report, eval_folder, closed_loop)}
 
 ORACLE_SQL = {
     "sim_abundance": f"""WITH {GENOME_SQL}, r AS (SELECT chrom_idx, row_number() OVER (ORDER BY {_chance("chrom_idx")} % 1009, chrom_idx) AS rank, count(*) OVER () AS regions FROM genome),
@@ -139,6 +154,9 @@ SELECT correct, wrong, round(1e4::DOUBLE * wrong / correct) / 100 AS percent_wro
     "eval_report": f"""WITH {JUDGED_SQL} SELECT 'aln.DCODE0000000805050A0A.sam' AS file, 8 AS threads, 5 AS siter, 5 AS giter, 10 AS spseudo, 10 AS gpseudo,
 {", ".join(f"count(*) FILTER (mapped AND q = {i} AND correct) AS correct_Q{i}, count(*) FILTER (mapped AND q = {i} AND NOT correct) AS wrong_Q{i}" for i in range(6))},
 {", ".join(f"count(*) FILTER (mapped AND q = {i} AND e = {j}) AS Q{i}_E{j}" for i in range(6) for j in range(6))} FROM judged, range(2) GROUP BY range""",
+    "eval_folder": f"""WITH {JUDGED_SQL} SELECT 'aln' || run || '.DCODE000000080505' || printf('%02X', run) || '0A.sam' AS file, 8 AS threads, 5 AS siter, 5 AS giter, CAST(run AS INTEGER) AS spseudo, 10 AS gpseudo, count(*) AS total, count(*) FILTER (mapped) AS mapped,
+{", ".join(f"count(*) FILTER (mapped AND q = {i} AND correct) AS correct_Q{i}, count(*) FILTER (mapped AND q = {i} AND NOT correct) AS wrong_Q{i}" for i in range(6))},
+{", ".join(f"count(*) FILTER (mapped AND q = {i} AND e = {j}) AS Q{i}_E{j}" for i in range(6) for j in range(6))} FROM (SELECT *, read_id % 3 AS run FROM judged) GROUP BY run""",
     "eval_summary": f"""WITH {JUDGED_SQL}, s AS (SELECT count(*) AS total, count(*) FILTER (mapped) AS mapped, count(*) FILTER (mapped AND NOT correct) AS wrong FROM judged)
 SELECT total, mapped, total - mapped AS unmapped, round(100.0::DOUBLE * mapped / total) AS percent_mapped, round(1e4::DOUBLE * wrong / total) / 100 AS percent_wrong FROM s""",
 }
