@@ -283,6 +283,10 @@ def test_fasta_fastq_bed_and_sam_files(spark, tmp_path):
 
 
 def test_output_names_and_dcodes(spark):
+    named = realign.output_path("realigned_gp", realign.Settings(sequence_iterations=7, genome_pseudo=255), 300, "d", "run1")
+    assert named == "d/realigned_gp.run1.DCODE000000FF07050AFF.sam"
+    r = one(spark, **{f"k{i}": c for i, c in enumerate(scores.parse_dcode(F.lit(named)))})
+    assert tuple(r) == (255, 7, 5, 10, 255)
     assert alignments.output_name("x", "sam", "d/", "id", "0000000405050A0A") == "d/x.id.DCODE0000000405050A0A.sam"
     r = one(spark, **{f"k{i}": c for i, c in enumerate(scores.parse_dcode(F.lit("x.DCODE0000000405050A0A.sam")))}, **{f"n{i}": c for i, c in enumerate(scores.parse_dcode(F.lit("x.sam")))})
     assert tuple(r) == (4, 5, 5, 10, 10, -1, -1, -1, -1, -1)
