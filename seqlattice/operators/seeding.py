@@ -185,8 +185,8 @@ def verified(windowed: DataFrame, whole: bool = False) -> DataFrame:
     schema = windowed.select("*", F.lit(0).alias("error"), F.lit(0).cast("long").alias("start")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 4_096) for i in range(0, whole.num_rows, 4_096)):
+        for held in batches:
+            for batch in (held.slice(i, 4_096) for i in range(0, held.num_rows, 4_096)):
                 error, at = (best_matches_whole if whole else best_matches)(batch["read"].to_pylist(), batch["window"].to_pylist())
                 start = batch["window_start"].to_numpy(zero_copy_only=False) + at
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(error.astype(np.int32)), pa.array(start.astype(np.int64))], names=[f.name for f in schema])

@@ -61,6 +61,16 @@ def test_whole_reads_are_matched_word_by_word(length):
     assert distance("ACG", "AG") == 1
 
 
+def test_windows_are_verified_with_64_bases_or_all(spark):
+    rnd = random.Random(7)
+    read = "".join(rnd.choices("ACGT", k=90))
+    text = "TT" + read[:64] + "ACGT" + read[68:]
+    df = spark.createDataFrame([(1, read, 100, text)], "read_id long, read string, window_start long, window string")
+    first, whole = (seeding.verified(df, whole=x).first() for x in (False, True))
+    assert (first.error, first.start) == (0, 102)
+    assert (whole.error, -whole.start) == min((min(last_row(read, text[i:])), -(100 + i)) for i in range(len(text)))
+
+
 def last_row(p, t):
     row = np.arange(len(t) + 1)
     for i, x in enumerate(p, 1):
