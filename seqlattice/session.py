@@ -7,7 +7,8 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 from py4j.protocol import Py4JError
@@ -31,14 +32,32 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 _written: dict[str, SparkSession] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        if path in _written:
+            spark = _written.pop(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear() -> None:
     """Deletes what this driver stored; call it once results are kept elsewhere. It also runs when the driver ends."""
-    for path, spark in list(_written.items()):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        del _written[path]
+    _delete(list(_written))
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end what this thread stored inside, for work that repeats as long as the driver runs."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(paths)
 
 
 def at_exit(clear: Callable[[], None]) -> None:
@@ -68,6 +87,9 @@ def scratch_path(spark: SparkSession) -> str:
     if not _written:
         at_exit(clear)
     _written[path] = spark
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     return path
 
 

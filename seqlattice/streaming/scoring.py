@@ -9,7 +9,7 @@ from ..operators import loci
 from ..operators.model import Model, apply_model
 from ..operators.seed_index import SeedIndex, build_index, search_index
 from ..plans.realign import records
-from ..session import stored
+from ..session import stored, temporary
 
 LONGEST = 256  # bases of a read, where the index is built here
 
@@ -26,7 +26,8 @@ def search_stream(reads: DataFrame, genome: DataFrame | SeedIndex, path: str, ch
     index = genome if isinstance(genome, SeedIndex) else build_index(genome, LONGEST)
 
     def each(batch: DataFrame, number: int) -> None:
-        search_index(index, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with temporary():
+            search_index(index, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -48,6 +49,7 @@ def realign_stream(reads: DataFrame, model: Model, genome, index: SeedIndex, pat
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        realign_batch(model, genome, index, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with temporary():
+            realign_batch(model, genome, index, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
