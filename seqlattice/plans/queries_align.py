@@ -320,6 +320,18 @@ QUERIES = {
     )
 }
 
+# CIGAR, MD and NM of paths, from rows (read_id, hit_idx, p, r, b) of a table plus
+RENDER_SQL = """own AS (SELECT *, min(p) FILTER (r <> '-') OVER w AS p0, max(p) FILTER (r <> '-') OVER w AS p1 FROM plus WINDOW w AS (PARTITION BY read_id, hit_idx)),
+kept AS (SELECT read_id, hit_idx, p, p0, r, b, CASE WHEN r = '-' THEN 'D' WHEN b = '-' THEN 'I' ELSE 'M' END AS k, CASE WHEN r <> '-' AND b <> '-' AND r <> b THEN 1 ELSE 0 END AS x FROM own WHERE p BETWEEN p0 AND p1),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY read_id, hit_idx, k ORDER BY p) AS run FROM kept),
+cigars AS (SELECT read_id, hit_idx, string_agg(c, '' ORDER BY p) AS cigar FROM (SELECT read_id, hit_idx, min(p) AS p, count(*) || k AS c FROM runs GROUP BY read_id, hit_idx, k, run) GROUP BY read_id, hit_idx),
+marks AS (SELECT *, sum(CASE WHEN x = 1 OR k = 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY read_id, hit_idx ORDER BY p) AS part, lag(k) OVER (PARTITION BY read_id, hit_idx ORDER BY p) AS before FROM kept),
+parts AS (SELECT read_id, hit_idx, part, count(*) FILTER (k = 'M' AND x = 0) AS same, max(CASE WHEN x = 1 THEN b WHEN k = 'D' AND before = 'D' THEN b WHEN k = 'D' THEN '^' || b END) AS mark, bool_or(k = 'D' AND before = 'D') AS joined,
+  max(part) OVER (PARTITION BY read_id, hit_idx) AS last FROM marks GROUP BY read_id, hit_idx, part),
+flow AS (SELECT *, coalesce(lead(joined) OVER (PARTITION BY read_id, hit_idx ORDER BY part), false) AS hush FROM parts),
+mds AS (SELECT read_id, hit_idx, CASE WHEN min(part) > 0 THEN '0' ELSE '' END || string_agg(coalesce(mark, '') || CASE WHEN part = last THEN CASE WHEN same > 0 OR mark IS NOT NULL OR part = 0 THEN CAST(same AS VARCHAR) ELSE '' END WHEN hush THEN '' ELSE CAST(same AS VARCHAR) END, '' ORDER BY part) AS md FROM flow GROUP BY read_id, hit_idx),
+nms AS (SELECT read_id, hit_idx, CAST(min(p0) - 1 AS INTEGER) AS add, CAST(sum(CASE WHEN k <> 'M' THEN 1 ELSE x END) AS INTEGER) AS nm FROM kept GROUP BY read_id, hit_idx)"""
+
 # a path's columns as rows: i counts read bases; d = 1 for a genome base that the read skips; f marks flanks
 PATHS_SQL = f"""{LOCI_SQL},
 ways AS (SELECT *, length(seq) AS n, length(locus) AS m, CASE WHEN strand = '-' THEN locus_stop - stop ELSE start - locus_start END AS lo, (read_id + hit_idx) % 3 AS kind, (read_id * 7 + hit_idx) % 9 + 3 AS spot FROM loci),
@@ -330,16 +342,7 @@ cols AS (SELECT read_id, hit_idx, strand, n, i AS o, 0 AS d, 0 AS f, substr(seq,
   UNION ALL SELECT read_id, hit_idx, strand, n, n + i, 0, 1, '-', substr(locus, CAST(lo + n + shift + i AS BIGINT), 1) FROM (SELECT *, unnest(range(1, m - lo - n - shift + 1)) AS i FROM (SELECT *, CASE WHEN kind = 1 AND n > spot THEN 1 WHEN kind = 2 AND n >= spot THEN -1 ELSE 0 END AS shift FROM ways))),
 plus AS (SELECT read_id, hit_idx, row_number() OVER (PARTITION BY read_id, hit_idx ORDER BY CASE WHEN strand = '-' THEN -o ELSE o END, CASE WHEN strand = '-' THEN -d ELSE d END) AS p,
   CASE WHEN strand = '-' THEN translate(r, 'ACGT', 'TGCA') ELSE r END AS r, CASE WHEN strand = '-' THEN translate(b, 'ACGT', 'TGCA') ELSE b END AS b FROM cols),
-own AS (SELECT *, min(p) FILTER (r <> '-') OVER w AS p0, max(p) FILTER (r <> '-') OVER w AS p1 FROM plus WINDOW w AS (PARTITION BY read_id, hit_idx)),
-kept AS (SELECT read_id, hit_idx, p, p0, r, b, CASE WHEN r = '-' THEN 'D' WHEN b = '-' THEN 'I' ELSE 'M' END AS k, CASE WHEN r <> '-' AND b <> '-' AND r <> b THEN 1 ELSE 0 END AS x FROM own WHERE p BETWEEN p0 AND p1),
-runs AS (SELECT *, p - row_number() OVER (PARTITION BY read_id, hit_idx, k ORDER BY p) AS run FROM kept),
-cigars AS (SELECT read_id, hit_idx, string_agg(c, '' ORDER BY p) AS cigar FROM (SELECT read_id, hit_idx, min(p) AS p, count(*) || k AS c FROM runs GROUP BY read_id, hit_idx, k, run) GROUP BY read_id, hit_idx),
-marks AS (SELECT *, sum(CASE WHEN x = 1 OR k = 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY read_id, hit_idx ORDER BY p) AS part, lag(k) OVER (PARTITION BY read_id, hit_idx ORDER BY p) AS before FROM kept),
-parts AS (SELECT read_id, hit_idx, part, count(*) FILTER (k = 'M' AND x = 0) AS same, max(CASE WHEN x = 1 THEN b WHEN k = 'D' AND before = 'D' THEN b WHEN k = 'D' THEN '^' || b END) AS mark, bool_or(k = 'D' AND before = 'D') AS joined,
-  max(part) OVER (PARTITION BY read_id, hit_idx) AS last FROM marks GROUP BY read_id, hit_idx, part),
-flow AS (SELECT *, coalesce(lead(joined) OVER (PARTITION BY read_id, hit_idx ORDER BY part), false) AS hush FROM parts),
-mds AS (SELECT read_id, hit_idx, CASE WHEN min(part) > 0 THEN '0' ELSE '' END || string_agg(coalesce(mark, '') || CASE WHEN part = last THEN CASE WHEN same > 0 OR mark IS NOT NULL OR part = 0 THEN CAST(same AS VARCHAR) ELSE '' END WHEN hush THEN '' ELSE CAST(same AS VARCHAR) END, '' ORDER BY part) AS md FROM flow GROUP BY read_id, hit_idx),
-nms AS (SELECT read_id, hit_idx, CAST(min(p0) - 1 AS INTEGER) AS add, CAST(sum(CASE WHEN k <> 'M' THEN 1 ELSE x END) AS INTEGER) AS nm FROM kept GROUP BY read_id, hit_idx)"""
+{RENDER_SQL}"""
 EDITS_SQL = f"""{DIAGONALS_SQL},
 w AS (SELECT d.read_id, d.strand, d.chrom_idx, d.diagonal, length(r.seq) AS len, substr(CASE WHEN d.strand = '+' THEN r.seq ELSE reverse(translate(r.seq, 'ACGT', 'TGCA')) END, 1, 64) AS read, greatest(d.diagonal, 0) AS window_start,
              least(d.diagonal + length(r.seq) + 10, g.seq_len) AS stop, g.seq FROM diagonals d JOIN reads r USING (read_id) JOIN genome g ON g.chrom_idx = d.chrom_idx),
@@ -351,14 +354,15 @@ best AS MATERIALIZED (SELECT read, win, min(e) AS e, max(s) FILTER (e = low) AS
 checked AS (SELECT read_id, strand, chrom_idx, diagonal, len, CAST(CASE WHEN e < length(near.read) THEN e ELSE length(near.read) END AS INTEGER) AS error, CAST(window_start + CASE WHEN e < length(near.read) THEN s ELSE length(near.win) END AS BIGINT) AS start
   FROM near LEFT JOIN best ON best.read = near.read AND best.win = near.win)"""
 
+TOP_SQL = f"""{EDITS_SQL}, places AS (SELECT read_id, strand, chrom_idx, start, CAST(min(error) AS INTEGER) AS error, CAST(any_value(len) AS INTEGER) AS len FROM checked WHERE error < 15 GROUP BY read_id, strand, chrom_idx, start),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY read_id ORDER BY error, chrom_idx, start, strand) AS INTEGER) AS rank FROM places)"""
+
 ORACLE_SQL = {
     "longest_read_length": f"WITH {READS_SQL} SELECT CAST(max(length(seq)) AS INTEGER) AS longest FROM reads",
     "reversed_qualities": f"WITH {READS_SQL} SELECT read_id, CASE WHEN read_id % 3 = 0 THEN '*' ELSE reverse(translate(seq, 'ACGT', '!5?I')) END AS qual FROM reads",
     "cigar_md_nm": f"WITH {PATHS_SQL} SELECT read_id, hit_idx, add, cigar, md, nm FROM nms JOIN cigars USING (read_id, hit_idx) JOIN mds USING (read_id, hit_idx)",
     "verify_edit_distance": f"WITH {EDITS_SQL} SELECT read_id, strand, chrom_idx, diagonal, error, start FROM checked",
-    "top10_hits": f"""WITH {EDITS_SQL}, places AS (SELECT read_id, strand, chrom_idx, start, CAST(min(error) AS INTEGER) AS error, CAST(any_value(len) AS INTEGER) AS len FROM checked WHERE error < 15 GROUP BY read_id, strand, chrom_idx, start),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY read_id ORDER BY error, chrom_idx, start, strand) AS INTEGER) AS rank FROM places)
-SELECT read_id, strand, chrom_idx, start, error, len, rank FROM r WHERE rank <= 10""",
+    "top10_hits": f"WITH {TOP_SQL} SELECT read_id, strand, chrom_idx, start, error, len, rank FROM r WHERE rank <= 10",
     "fasta_roundtrip": f"WITH {GENOME_SQL} SELECT chrom, seq, CAST(seq_len AS INTEGER) AS seq_len FROM genome",
     "fasta_tiles": f"WITH {GENOME_SQL} SELECT chrom, tile, substr(seq, CAST(tile * 100 + 1 AS BIGINT), 120) AS part, seq_len FROM (SELECT *, unnest(range(0, (seq_len + 99) // 100)) AS tile FROM genome)",
     "interval_overlaps": f"""WITH {EXACT_SQL}, regions AS (SELECT chrom_idx, CAST(0 AS BIGINT) AS a, CAST(seq_len AS BIGINT) AS b FROM genome WHERE chrom_idx % 3 = 0

@@ -108,19 +108,19 @@ def training_reads_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_reads(spark, sf_dir)
 
 
-def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gathered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, r = genome(spark, sf_dir), reads(spark, sf_dir)
     return realign.prepare(g, r, loci.hits_of(seeding.search(g, r)))
 
 
 def hmm_forward_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward and background scores of all hits under the starting model."""
-    return em.score_hits(spark, _gathered(spark, sf_dir), hmm.initial_model()).select("read_id", "hit_idx", F.round("a_score", 5).alias("a_score"), F.round("g_score", 5).alias("g_score"))
+    return em.score_hits(spark, gathered_hits(spark, sf_dir), hmm.initial_model()).select("read_id", "hit_idx", F.round("a_score", 5).alias("a_score"), F.round("g_score", 5).alias("g_score"))
 
 
 def hmm_viterbi_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best alignments of all hits under the starting model, rendered."""
-    s = em.score_hits(spark, _gathered(spark, sf_dir), hmm.initial_model(), paths=True)
+    s = em.score_hits(spark, gathered_hits(spark, sf_dir), hmm.initial_model(), paths=True)
     return s.select("read_id", "hit_idx", F.round("v_score", 5).alias("v_score"), alignments.rendered("path").alias("r")).select("read_id", "hit_idx", "v_score", "r.*")
 
 
