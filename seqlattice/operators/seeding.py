@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.bases import kmer_text, reverse_complement
 from ..session import stored
-from .seed_index import SeedIndex, build_index, search_index
+from .seed_index import SeedIndex, build_index, keyed_seeds, search_index
 from .tiles import cut, longest_of, look_up
 
 SEED, STEP, LONGEST, TILE = 12, 8, 64, 256
@@ -209,10 +209,10 @@ def search_plainly(genome: DataFrame, reads: DataFrame, k: int = SEED, step: int
 def search(genome: DataFrame, reads: DataFrame, k: int = SEED, step: int = STEP, left: int = LEFT, right: int = RIGHT, most: int = TOP, index: SeedIndex | None = None) -> DataFrame:
     """The seed search from end to end: (read_id, strand, chrom_idx, start, error, len, rank), as search_plainly() gives it.
 
-    ``index`` is the genome's stored index; without one it is built for this search.
+    ``index`` is the genome's stored index; without one it is built for this search, of the seeds' k-mers only.
     """
     if step < 1:
         raise ValueError("steps are positive")
     reads = stored(reads.select("read_id", "seq"))
-    index = index or build_index(genome, max(k, longest_of(reads, F.length("seq"))), k, left, right)
+    index = index or build_index(genome, max(k, longest_of(reads, F.length("seq"))), k, left, right, seeds=keyed_seeds(reads, k, step))
     return search_index(index, reads, step, left, right, most)
