@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..session import stored
 from .ranges import Bytes, files_of, opened
 
 SPLIT = 32 << 20
@@ -126,6 +127,28 @@ def read_header(file: Bytes) -> tuple[list[str], list[int], int, int]:
     return names, lengths, member, at - max(a for a, b in m.starts if b == member)
 
 
+def header_end(file: Bytes) -> int:
+    """A member's begin at or after that of the first record, or the file's size: how far the header reaches, of which no more than a few members are held."""
+    m = Members(file, 0)
+    m.need(8)
+    if bytes(m.data[:4]) != b"BAM\1":
+        raise ValueError("not a BAM file")
+    at, left = 8 + struct.unpack_from("<i", m.data, 4)[0], None
+    while left != 0:
+        if at > 1 << 18:
+            gone = min(at, len(m.data))
+            m.drop(gone)
+            at -= gone
+        if not m.need(at + 4):
+            raise ValueError("the header is cut off")
+        if left is None:
+            left, size = struct.unpack_from("<i", m.data, at)[0], 4
+        else:
+            left, size = left - 1, 8 + struct.unpack_from("<i", m.data, at)[0]
+        at += size
+    return m.next
+
+
 def looks_like_record(m: Members, at: int, chromosomes: int) -> int:
     """The end of the record at ``at`` if it looks like one, else 0."""
     if not m.need(at + 36):
@@ -226,7 +249,15 @@ class BamReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
 
     def partitions(self) -> list[Split]:
-        return [Split(path, a, min(a + self.split, size)) for path, size in files_of(self.path, ".bam") for a in range(0, size, self.split)]
+        return [s for path, size in files_of(self.path, ".bam") for s in self.splits(path, size)]
+
+    def splits(self, path: str, size: int) -> list[Split]:
+        """One from the file's begin, which takes the header with it, and others from where its records begin: a header of any length is read by those only that have records."""
+        if size <= self.split:
+            return [Split(path, 0, size)]
+        records = header_end(Bytes(path))
+        cuts = [0, *range(records + self.split, size, self.split), size]
+        return [Split(path, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         file = Bytes(partition.path)
@@ -360,8 +391,9 @@ def read_bam(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
 def write_bam(records: DataFrame, chromosomes: DataFrame, path: str, order: str = "unsorted", block: int = 65_280) -> None:
     """Records (the fields of read_sam()) as BAM files under ``path``, one a partition, each with the header of all chromosomes (chrom_idx, chrom, seq_len)."""
     records.sparkSession.dataSource.register(Bam)
-    listed = chromosomes.orderBy("chrom_idx").select("chrom", F.col("seq_len").cast("long").alias("n")).toLocalIterator()  # a header holds all chromosomes
-    names, lengths = zip(*[(r.chrom, str(r.n)) for r in listed], strict=True) if chromosomes.limit(1).count() else ((), ())
+    listed = stored(chromosomes.select("chrom_idx", "chrom", F.col("seq_len").cast("long").alias("n")))  # worked out once; to sort it takes two passes
+    rows = [(r.chrom, str(r.n)) for r in listed.orderBy("chrom_idx").toLocalIterator()]  # a header holds all chromosomes
+    names, lengths = [n for n, _ in rows], [x for _, x in rows]
     fields = [x.split()[0] for x in FIELDS.split(", ")]
     how = {"path": path, "names": "\t".join(names), "lengths": " ".join(lengths), "order": order, "block": block}
     records.select(*fields).write.format("bam").options(**how).mode("append").save()
