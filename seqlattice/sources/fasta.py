@@ -25,6 +25,8 @@ from ..session import stored
 from .ranges import Bytes, files_of
 
 STRETCH, SPLIT = 1 << 20, 32 << 20
+PARTS, ROWS = 256, 5_000  # tasks of a scan, unless each then had more than SPLIT bytes; pieces in a batch
+HELD = 4 << 20  # bases of tiles in a batch, and one segment more
 BIN = 1 << 16  # bases; places and segments meet by these
 PIECES = "file string, begin long, end long, kind string, name string, bases long, lead long, line long, width long"
 _KEPT = np.full(256, ord("N"), np.uint8)  # letters of a sequence: either case, U as T, others than bases as N
@@ -91,9 +93,7 @@ def pieces_of(file: Bytes, path: str, begin: int, end: int) -> list[tuple]:
 
 @dataclass
 class Part(InputPartition):
-    path: str
-    begin: int
-    end: int
+    ranges: list[tuple[str, int, int]]  # path, begin, end; each is cut into stretches by itself
 
 
 class FastaReader(DataSourceReader):
@@ -101,14 +101,26 @@ class FastaReader(DataSourceReader):
         self.path, self.stretch, self.split = options["path"], int(options["stretch"]), int(options["splitsize"])
 
     def partitions(self) -> list[Part]:
-        return [Part(path, a, min(a + self.split, size)) for path, size in files_of(self.path) for a in range(0, size, self.split)]
+        ranges = [(path, a, min(a + self.split, size)) for path, size in files_of(self.path) for a in range(0, size, self.split)]
+        each = min(-(-len(ranges) // PARTS), max(1, SPLIT // self.split))  # small splits go to a task together
+        return [Part(ranges[i : i + each]) for i in range(0, len(ranges), each)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        file = Bytes(partition.path)
-        for a in range(partition.begin, partition.end, self.stretch):
-            columns = zip(*pieces_of(file, partition.path, a, min(a + self.stretch, partition.end)), strict=True)  # at least one piece
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        file, held = None, []
+        for path, begin, end in partition.ranges:
+            file = file if file and file.path == path else Bytes(path)
+            for a in range(begin, end, self.stretch):
+                held += pieces_of(file, path, a, min(a + self.stretch, end))
+                if len(held) >= ROWS:
+                    yield _batch(held)
+                    held = []
+        if held:
+            yield _batch(held)
+
+
+def _batch(pieces: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
 
 class FastaPieces(DataSource):
@@ -134,13 +146,24 @@ class IndexedGenome:
         """(chrom_idx, tile, part, seq_len): pieces of ``size`` bases, each followed by the next ``overlap``."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def given(held: list[tuple]) -> pa.RecordBatch:
+                columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                return pa.RecordBatch.from_arrays(columns, names=["chrom_idx", "tile", "at", "piece"])
+
+            file, held, bases = None, [], 0
             for batch in batches:
                 for r in batch.to_pylist():
-                    text, a = letters(Bytes(r["file"]).read(r["begin"], r["end"])), r["first_base"]
-                    tiles = range(max(0, -(-(a - size - overlap + 1) // size)), (a + len(text) - 1) // size + 1)
-                    spans = [(max(t * size - a, 0), t * size + size + overlap - a) for t in tiles]
-                    columns = [pa.array([r["chrom_idx"]] * len(spans), pa.int64()), pa.array(tiles, pa.int64()), pa.array([a + x for x, _ in spans], pa.int64()), pa.array([text[x:y] for x, y in spans], pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["chrom_idx", "tile", "at", "piece"])
+                    file = file if file and file.path == r["file"] else Bytes(r["file"])
+                    text, a = letters(file.read(r["begin"], r["end"])), r["first_base"]
+                    for t in range(max(0, -(-(a - size - overlap + 1) // size)), (a + len(text) - 1) // size + 1):
+                        x = max(t * size - a, 0)
+                        held.append((r["chrom_idx"], t, a + x, text[x : t * size + size + overlap - a]))
+                    bases += len(text)
+                    if bases >= HELD or len(held) >= 10 * ROWS:
+                        yield given(held)
+                        held, bases = [], 0
+            if held:
+                yield given(held)
 
         cut = self.segments.where("bases > 0").mapInArrow(run, "chrom_idx long, tile long, at long, piece string").where("piece <> ''")
         whole = cut.groupBy("chrom_idx", "tile").agg(_joined("at", "piece").alias("part"))  # as many as a tile has segments

@@ -29,6 +29,7 @@ class Bytes:
     """Reads of one file by position."""
 
     def __init__(self, path: str):
+        self.path = path
         system, at = opened(path)
         self.file = system.open_input_file(at)
         self.size = self.file.size()
