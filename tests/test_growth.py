@@ -2,8 +2,12 @@
 
 import numpy as np
 
-from seqlattice.operators import em
+from seqlattice.operators import em, evaluate
 from seqlattice.operators.kernels import Lattice, expected_counts, forward
+from seqlattice.plans import queries_sim
+from seqlattice.sources import bam, fasta
+
+append = evaluate.append_report
 
 
 def test_copies_of_a_pair_are_aligned_once():
@@ -23,3 +27,36 @@ def test_tables_of_a_pair_are_as_large_as_said_and_some_pairs_count_alone():
     some = np.flatnonzero(weights)
     alone = expected_counts(*[(x, T, y) for x, y in [em._some(lattice, f, some)]][0], score[some], weights[some])
     assert np.allclose(alone, expected_counts(lattice, T, f, score, weights), rtol=1e-12)
+
+
+def test_splits_of_bam_follow_its_records_not_its_header(spark, tmp_path):
+    chromosomes = spark.range(20_000).selectExpr("id AS chrom_idx", "concat('chromosome', id) AS chrom", "100 + id AS seq_len")
+    records = spark.range(300).selectExpr("concat('r', id) AS name", "0 AS flag", "concat('chromosome', id * 7) AS chrom", "id + 1 AS pos", "9 AS mapq", "'4M' AS cigar", "'ACGT' AS seq", "'*' AS qual", "1 AS nm", "cast(null AS string) AS xa")
+    path = str(tmp_path / "bam")
+    bam.write_bam(records.coalesce(1), chromosomes, path, block=3_000)
+    (file,) = tmp_path.glob("bam/*.bam")
+    reader = bam.BamReader({"path": path, "split": "2000"})
+    parts = reader.partitions()
+    assert 1 < len(parts) < 15 < file.stat().st_size / 2_000
+    assert [p.begin for p in parts[1:]] == [p.end for p in parts[:-1]] and parts[0].begin == 0 and parts[-1].end == file.stat().st_size
+    back = bam.read_bam(spark, path, 2_000)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, records.collect()))
+
+
+def test_small_splits_of_fasta_share_tasks_and_batches(spark, tmp_path):
+    text = "".join(f">c{i}\n" + "ACGTA\n" * 40 for i in range(400))
+    (tmp_path / "g.fa").write_text(text)
+    reader = fasta.FastaReader({"path": str(tmp_path / "g.fa"), "stretch": "50", "splitsize": "100"})
+    parts = reader.partitions()
+    assert len(parts) <= fasta.PARTS and sum(len(p.ranges) for p in parts) == -(-len(text) // 100)
+    assert sum(len(list(reader.read(p))) for p in parts) == len(parts)
+    tiles = fasta.index_fasta(spark, str(tmp_path / "g.fa"), 50, 100).tiles(30, 5).collect()
+    whole = "ACGTA" * 40
+    assert sorted((r.chrom_idx, r.tile, r.part) for r in tiles) == [(c, t, whole[30 * t : 30 * t + 35]) for c in range(400) for t in range(7)]
+
+
+def test_a_report_is_judged_once_however_often_it_is_appended(spark, small, monkeypatch):
+    rows = []
+    monkeypatch.setattr(evaluate, "append_report", lambda row, path: (rows.append(row), append(row, path)))
+    assert queries_sim.eval_report(spark, small).count() == 2
+    assert len(rows) == 2 and not any("documents" in f for r in rows for f in r.inputFiles())
