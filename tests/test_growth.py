@@ -1,8 +1,10 @@
 """Work and memory that must not grow with copies, headers or repeated reading."""
 
+import random
+
 import numpy as np
 
-from seqlattice.operators import em, evaluate
+from seqlattice.operators import em, evaluate, seeding
 from seqlattice.operators.kernels import Lattice, expected_counts, forward
 from seqlattice.plans import queries_sim
 from seqlattice.sources import bam, fasta
@@ -60,3 +62,22 @@ def test_a_report_is_judged_once_however_often_it_is_appended(spark, small, monk
     monkeypatch.setattr(evaluate, "append_report", lambda row, path: (rows.append(row), append(row, path)))
     assert queries_sim.eval_report(spark, small).count() == 2
     assert len(rows) == 2 and not any("documents" in f for r in rows for f in r.inputFiles())
+
+
+def test_many_windows_are_compared_as_single_ones_and_equal_ones_once(spark, monkeypatch):
+    r = random.Random(8)
+    reads = ["".join(r.choices("ACGT", k=r.randint(12, 73))) for _ in range(20)]
+    pairs = [(p, "".join(x for x in p if r.random() > 0.1)[: r.choice((0, 9, 99))] + "ACGTACG"[: r.randint(0, 7)]) for p in reads for _ in range(6)] * 3
+    want = seeding.best_matches([p for p, _ in pairs], [t for _, t in pairs])
+    monkeypatch.setattr(seeding, "best_matches", None)  # the letter-by-letter way is for other letters only
+    got = seeding._matches(*zip(*pairs, strict=True))
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_groups_that_end_within_a_read_make_no_links(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, "+", c, p) for c in range(50) for p in ((5, 9) if c else (5, 9, 30, 60))], "read_id long, strand string, chrom_idx long, pos int")
+    reads = spark.createDataFrame([(1, "A" * 20)], "read_id long, seq string")
+    linked, links = [], seeding.admissible_links
+    monkeypatch.setattr(seeding, "admissible_links", lambda ends, keys: (linked.append(ends.count()), links(ends, keys))[1])
+    got = sorted((r.chrom_idx, r.end) for r in seeding.suppressed(hits, reads, 12).collect())
+    assert got == sorted([(c, 16) for c in range(50)] + [(0, 41), (0, 71)]) and linked == [4]
