@@ -1,10 +1,13 @@
 """Work and memory that must not grow with copies, headers or repeated reading."""
 
 import random
+import tracemalloc
+import weakref
 
 import numpy as np
+import pyarrow as pa
 
-from seqlattice.operators import em, evaluate, seeding
+from seqlattice.operators import em, evaluate, seed_index, seeding
 from seqlattice.operators.kernels import Lattice, expected_counts, forward
 from seqlattice.plans import queries_sim
 from seqlattice.sources import bam, fasta
@@ -31,6 +34,34 @@ def test_tables_of_a_pair_are_as_large_as_said_and_some_pairs_count_alone():
     assert np.allclose(alone, expected_counts(lattice, T, f, score, weights), rtol=1e-12)
 
 
+def test_scores_alone_hold_three_anti_diagonals_however_long_a_pair_is():
+    rng = np.random.default_rng(5)
+    T = np.log(em.initial_model())
+    for n, m in ((11, 11), (30, 41), (300, 290)):
+        lattice = Lattice(rng.integers(0, 4, (3, n)), rng.integers(0, 5, (3, m)))
+        score, f = forward(lattice, T, keep=False)
+        assert f.table.nbytes == 3 * 3 * (n + 3) * 3 * 8
+        assert score.tolist() == forward(lattice, T)[0].tolist()
+
+
+def test_rows_of_large_batches_are_made_as_they_are_asked_for():
+    held, old = [], []
+
+    def batches():
+        for _ in range(3):
+            old.extend(r() for r in held)
+            batch = pa.RecordBatch.from_pydict({"text": pa.array([b"A" * (1 << 16)] * 100, pa.binary())})
+            held.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    tracemalloc.start()
+    assert sum(len(r["text"]) for r in seed_index.rows_of(batches())) == 300 << 16
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 16 and old == [None] * 3
+
+
 def test_splits_of_bam_follow_its_records_not_its_header(spark, tmp_path):
     chromosomes = spark.range(20_000).selectExpr("id AS chrom_idx", "concat('chromosome', id) AS chrom", "100 + id AS seq_len")
     records = spark.range(300).selectExpr("concat('r', id) AS name", "0 AS flag", "concat('chromosome', id * 7) AS chrom", "id + 1 AS pos", "9 AS mapq", "'4M' AS cigar", "'ACGT' AS seq", "'*' AS qual", "1 AS nm", "cast(null AS string) AS xa")
