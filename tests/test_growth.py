@@ -6,10 +6,11 @@ import weakref
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from seqlattice.operators import em, evaluate, seed_index, seeding
+from seqlattice.operators import em, evaluate, seed_index, seeding, tiles
 from seqlattice.operators.kernels import Lattice, expected_counts, forward
-from seqlattice.plans import queries_sim
+from seqlattice.plans import queries_sim, realign
 from seqlattice.sources import bam, fasta
 
 append = evaluate.append_report
@@ -62,6 +63,34 @@ def test_rows_of_large_batches_are_made_as_they_are_asked_for():
     assert peak < 10 << 16 and old == [None] * 3
 
 
+def _counted_genome(spark, chromosomes):
+    """A genome of 200 bases a chromosome, and how many chromosomes' sequences have been made of it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def bases(i):
+        made.add(1)
+        return "".join(random.Random(i).choices("ACGT", k=200))
+
+    ids = spark.range(chromosomes).withColumnRenamed("id", "chrom_idx")
+    return ids.select("chrom_idx", F.udf(bases, "string")("chrom_idx").alias("seq")).select("*", F.length("seq").alias("seq_len")), made
+
+
+def test_an_index_makes_its_genome_once(spark):
+    genome, made = _counted_genome(spark, 40)
+    regions = seed_index.packed(genome, 64, 60).collect()
+    assert sum(len(r.start) // 8 for r in regions) == 40 and made.value == 40
+
+
+def test_hits_are_located_in_the_chromosomes_that_they_name(spark):
+    genome, made = _counted_genome(spark, 40)
+    hits = spark.createDataFrame([(1, 0, 7, 20, 50, "+", 2), (1, 1, 31, 0, 30, "-", 2), (2, 0, 7, 20, 50, "+", 1)], "read_id long, hit_idx int, chrom_idx long, start long, stop long, strand string, num_hits long")
+    got = {(r.read_id, r.hit_idx): r for r in realign.locate(genome, hits).collect()}
+    assert made.value == 2
+    whole = genome.where("chrom_idx = 7").first().seq
+    assert len(got) == 3 and got[2, 0].locus == whole[15:55] and got[2, 0].depth == 1.5 and len(got[1, 1].locus) == 35
+    assert tiles.named_only(genome, hits, 1) is genome
+
+
 def test_splits_of_bam_follow_its_records_not_its_header(spark, tmp_path):
     chromosomes = spark.range(20_000).selectExpr("id AS chrom_idx", "concat('chromosome', id) AS chrom", "100 + id AS seq_len")
     records = spark.range(300).selectExpr("concat('r', id) AS name", "0 AS flag", "concat('chromosome', id * 7) AS chrom", "id + 1 AS pos", "9 AS mapq", "'4M' AS cigar", "'ACGT' AS seq", "'*' AS qual", "1 AS nm", "cast(null AS string) AS xa")
