@@ -6,7 +6,7 @@ from seqlattice.operators import em
 from seqlattice.plans import queries_model, realign
 
 
-@pytest.mark.parametrize("query", [queries_model.realigned_sam])
+@pytest.mark.parametrize("query", [queries_model.realigned_sam, queries_model.em_sequence_model])
 def test_the_model_is_fitted_on_all_reads(spark, small, monkeypatch, query):
     prepared, given, fitted = realign._prepared, [], []
 
