@@ -3,10 +3,10 @@
 import pytest
 
 from seqlattice.operators import em
-from seqlattice.plans import queries_model, realign
+from seqlattice.plans import queries_model, queries_sim, realign
 
 
-@pytest.mark.parametrize("query", [queries_model.realigned_sam, queries_model.em_sequence_model])
+@pytest.mark.parametrize("query", [queries_model.realigned_sam, queries_model.em_sequence_model, queries_sim.closed_loop])
 def test_the_model_is_fitted_on_all_reads(spark, small, monkeypatch, query):
     prepared, given, fitted = realign._prepared, [], []
 
