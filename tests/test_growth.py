@@ -141,3 +141,27 @@ def test_groups_that_end_within_a_read_make_no_links(spark, monkeypatch):
     monkeypatch.setattr(seeding, "admissible_links", lambda ends, keys: (linked.append(ends.count()), links(ends, keys))[1])
     got = sorted((r.chrom_idx, r.end) for r in seeding.suppressed(hits, reads, 12).collect())
     assert got == sorted([(c, 16) for c in range(50)] + [(0, 41), (0, 71)]) and linked == [4]
+
+
+def test_reads_that_the_model_sees_as_equal_are_one_row_of_training(spark):
+    rng = random.Random(21)
+    read = lambda: "".join(rng.choices("ACGT", k=20))
+    hit = lambda i, s: (i, i, 5, 25, "+", 0, "GTACC" + s + "ACGTT", 0, 0, -40.0, 0.5, 1.0)
+    own = [read() for _ in range(6)]
+    rows = [(i, f"r{i}", own[i % 6], -28.0, [hit(0, own[i % 6]), hit(1 + i % 2, read() if i == 29 else own[(i + 1) % 6])]) for i in range(30)]
+    df = spark.createDataFrame(rows, f"read_id long, name string, seq string, r_score double, hits array<{em.HIT}>")
+    pooled = em.pooled(df)
+    assert sorted(r.copies for r in pooled.collect()) == [1.0, 4.0, 5.0, 5.0, 5.0, 5.0, 5.0]
+    summed = [{r.code: r["count"] for r in em.expectation(x, em.initial_model(), False).collect()} for x in (df, pooled)]
+    assert summed[0].keys() == summed[1].keys() and all(np.isclose(v, summed[1][k], rtol=1e-9) for k, v in summed[0].items())
+
+
+def test_only_the_chosen_hits_are_aligned(spark):
+    rng = random.Random(22)
+    own = ["".join(rng.choices("ACGT", k=20)) for _ in range(4)]
+    hits = [[(j, j, 5, 25, "+", 0, "GTACC" + own[(i + j) % 4] + "ACGTT", 0, 0, -40.0, 0.5, 1.0) for j in range(3)] for i in range(4)]
+    df = spark.createDataFrame([(i, f"r{i}", s, -28.0, h) for i, (s, h) in enumerate(zip(own, hits, strict=True))], f"read_id long, name string, seq string, r_score double, hits array<{em.HIT}>")
+    best = spark.createDataFrame([(0, 0), (2, 1), (3, 2)], "read_id long, hit_idx int")
+    got = {(r.read_id, r.hit_idx): (r.v_score, r.path) for r in em.best_paths(spark, df, best, em.initial_model()).collect()}
+    want = {(r.read_id, r.hit_idx): (r.v_score, r.path) for r in em.score_hits(spark, df, em.initial_model(), paths=True).collect()}
+    assert got == {k: want[k] for k in ((0, 0), (2, 1), (3, 2))}
